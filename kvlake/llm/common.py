@@ -151,8 +151,8 @@ class Words:
                 out.append(np.unique(h[bounds[d] : bounds[d + 1]]))
             elif n:
                 w = self.hash[self.first[d] : self.first[d + 1]]
-                one = np.sum(w * PLACES[:n], dtype=np.uint64) + PLACES[40] * np.uint64(n)
-                out.append(mix64(np.array([one], np.uint64)))
+                one = np.sum(w * PLACES[:n], dtype=np.uint64, keepdims=True) + PLACES[40:41] * np.uint64(n)
+                out.append(mix64(one))
             else:
                 out.append(np.zeros(0, np.uint64))
         return out

@@ -1,9 +1,12 @@
 """The operators' queries, and their SQL where SQL can express them."""
 
+from .decontamination import op2_benchmark_decontamination
+from .jaccard_join import op4_ngram_jaccard_join
 from .packing import op6_packing
 from .quality import op9_quality_rules
 from .sharding import op1_sharding
+from .urls import op8_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op4_ngram_jaccard_join, op6_packing, op8_url_filters, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
