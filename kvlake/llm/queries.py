@@ -1,12 +1,14 @@
 """The operators' queries, and their SQL where SQL can express them."""
 
+from .classifier import op3_quality_classifier
 from .decontamination import op2_benchmark_decontamination
 from .jaccard_join import op4_ngram_jaccard_join
+from .licenses import op7_license_scans
 from .packing import op6_packing
 from .quality import op9_quality_rules
 from .sharding import op1_sharding
 from .urls import op8_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op4_ngram_jaccard_join, op6_packing, op8_url_filters, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_quality_classifier, op4_ngram_jaccard_join, op6_packing, op7_license_scans, op8_url_filters, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
