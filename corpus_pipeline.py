@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near duplicates, benchmark decontamination, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame; `run` writes each stage as Parquet into the shared folder and reads it back as the next
+one's docs. All but the last stage return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kvlake.llm.common import Scratch, read_table
+from kvlake.llm.decontamination import drop_contaminated
+from kvlake.llm.jaccard_join import keep_one
+from kvlake.llm.packing import pack
+from kvlake.llm.pii import mask_documents
+from kvlake.llm.quality import filter_documents
+from kvlake.session import ship_package
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; lines that are frequent within their host are removed from the rest."""
+    ship_package(spark)
+    return filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    ship_package(spark)
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a verified overlap with the benchmark go."""
+    ship_package(spark)
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked by its kind in angle brackets."""
+    ship_package(spark)
+    return mask_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces of sequences of 1024 tokens."""
+    ship_package(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII", personal_data),
+    ("packing", packing),
+]
+
+#: The tagger of the PII stage can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

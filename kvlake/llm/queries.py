@@ -6,10 +6,11 @@ from .html_text import op10_html_extraction
 from .jaccard_join import op4_ngram_jaccard_join
 from .licenses import op7_license_scans
 from .packing import op6_packing
+from .pii import op5_pii
 from .quality import op9_quality_rules
 from .sharding import op1_sharding
 from .urls import op8_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_quality_classifier, op4_ngram_jaccard_join, op6_packing, op7_license_scans, op8_url_filters, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_benchmark_decontamination, op3_quality_classifier, op4_ngram_jaccard_join, op5_pii, op6_packing, op7_license_scans, op8_url_filters, op9_quality_rules, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {}
