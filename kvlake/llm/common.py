@@ -49,9 +49,24 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
-def prefixed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names can't matter."""
-    return df.select(*keep)
+_MADE: dict = {}
+
+
+def made_in_task(spark: SparkSession, make):
+    """make() run once per application, in a task of its own, where numpy keeps to one thread."""
+    import pickle
+
+    import pyarrow as pa
+
+    key = (spark.sparkContext.applicationId, make.__module__, make.__name__)
+    if key not in _MADE:
+
+        def run(batches):
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make())], pa.binary())], ["made"])
+
+        _MADE[key] = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "made binary").first()[0])
+    return _MADE[key]
 
 
 # ---------------------------------------------------------------- words
@@ -172,7 +187,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def small_slices(batch, column: str = "text", most: int = 1 << 20):
+def small_slices(batch, column: str = "text", most: int = 1 << 19):
     """Slices of an Arrow batch with about so many bytes of text, never less than a row."""
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
     at = 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_slices, text_buffer
+from .common import made_in_task, read_table, small_slices, text_buffer
 
 KINDS = ("email", "ip", "card", "phone")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -443,7 +443,7 @@ def triggered(column) -> np.ndarray:
 
 
 def _handed(docs: DataFrame):
-    return docs.sparkSession.sparkContext.broadcast(train())
+    return docs.sparkSession.sparkContext.broadcast(made_in_task(docs.sparkSession, train))
 
 
 def find(docs: DataFrame) -> DataFrame:
