@@ -10,6 +10,9 @@ from kvlake.functions.running import neighbours, running_sum
 from kvlake.operators import manifest as M
 from kvlake.operators import merge, planner, reads, txn, valuelog
 from kvlake.sources import views as V
+from kvlake.sources.scratch import shared_folder
+from kvlake.sources.store import Store
+from kvlake.streaming import stream
 
 NOW, TS = V.NOW, 5000
 QUERIES: dict = {}
@@ -477,3 +480,52 @@ def aes_roundtrip(spark, sf):
     kv = V.conversations(spark, sf).withColumn("sealed", F.aes_encrypt("value", key, F.lit("GCM")))
     opened = F.aes_decrypt("sealed", key, F.lit("GCM")).cast("string")
     return kv.select("key", "version", (opened == F.col("value")).alias("same"), F.length(opened).cast("long").alias("chars"))
+
+
+# ---------------------------------------------------------------- the store and streams
+
+
+@query(f"{_E} select key, version, value from (select * from kv where version <= {TS} qualify row_number() over (partition by key order by version desc) = 1) where not {_DEAD}")
+def store_snapshot(spark, sf):
+    """Three committed runs, read back as one snapshot."""
+    store = Store(spark, shared_folder(spark, "store"))
+    kv = V.events(spark, sf).drop("level")
+    for k in range(3):
+        store.append(kv.where(F.col("sst") % 3 == k))
+    return reads.snapshot(store.rows(), TS, NOW).select("key", "version", "value")
+
+
+@query(f"{_retain_sql(1, False)} select key, version, value from r where kept")
+def store_compact(spark, sf):
+    """Two runs, compacted to one, read back."""
+    store = Store(spark, shared_folder(spark, "store"))
+    kv = V.events(spark, sf).drop("level")
+    for k in range(2):
+        store.append(kv.where(F.col("sst") % 2 == k))
+    store.compact(1, NOW)
+    store.vacuum()
+    return store.rows().select("key", "version", "value")
+
+
+@query(f"{_E} select key, version, value from kv qualify row_number() over (partition by key order by version desc) = 1")
+def stream_upsert_snapshot(spark, sf):
+    """Events as a stream of upserts; the newest version of each key over all batches."""
+    out = shared_folder(spark, "upsert")
+    q = stream.upsert(_event_stream(spark, sf), f"{out}/rows", f"{out}/state")
+    q.awaitTermination()
+    return stream.upserted(spark, f"{out}/rows").select("key", "version", "value")
+
+
+def _event_stream(spark, sf):
+    e = stream.read_stream(spark, f"{sf}/events.parquet")
+    return e.select(F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"), (F.col("event_id") + 1).alias("version"), F.col("props").alias("value"))
+
+
+@query("with l as (select event_id as seq, case when event_id%10=9 then 'F' else 'T' end as kind, event_id//10+1 as ts, 'u'||lpad(cast(user_id as varchar),8,'0') as key from events where event_id%70<>69) select ts, seq, key from l where kind='T' and ts in (select ts from l where kind='F')")
+def stream_txn_assemble(spark, sf):
+    """A log as a stream; rows of the transactions whose end marker came."""
+    e = stream.read_stream(spark, f"{sf}/events.parquet").where("event_id % 70 <> 69")
+    log = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 10 == 9, "F").otherwise("T").alias("kind"), (F.expr("event_id div 10") + 1).alias("ts"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"))
+    out = shared_folder(spark, "assemble")
+    stream.append_to(stream.assemble(log), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("ts", "seq", "key")
