@@ -13,7 +13,12 @@ from kvlake.operators import reads
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A folder of Parquet files, or one file, as a stream."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return source.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return source.parquet(path)
 
 
 def upsert(stream: DataFrame, out: str, checkpoint: str):
