@@ -5,7 +5,8 @@ together, unless it alone outweighs a shard's fair part; such a group is cut int
 quarter of that part. Units (groups or pieces) are dealt by hash over bounded buckets. In a bucket,
 each unit is a partial partition; the two with the largest spread are combined, the one's largest
 slot with the other's smallest, until one is left. Buckets' partial partitions are combined in the
-same way, level by level, so no task sees more than a bucket and the driver sees counts alone.
+same way, level by level, and at last with the units of one bucket that was kept back; so no task
+sees more than a bucket and the driver sees counts alone.
 
 Null texts weigh 16 bytes and form one group; empty texts another. Repeated rows are kept and
 each gets its own slot. An empty table gives an empty result.
@@ -71,6 +72,14 @@ def deal_units(pdf: pd.DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def _sums(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sums of each one's slots) of rows b, s, bytes. Slots without a row are empty."""
+    ids = np.sort(pdf["b"].unique()).astype(np.int64)
+    sums = np.zeros((len(ids), k), np.int64)
+    sums[np.searchsorted(ids, pdf["b"].astype(np.int64)), pdf["s"].astype(np.int64)] = pdf["bytes"]
+    return ids, sums
+
+
 def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str = "text", bucket_units: int = 20_000, fan_in: int = 64, block_rows: int = 100_000) -> DataFrame:
     """Columns id, size, text_crc32, shard, slot for every row of docs."""
     spark = docs.sparkSession
@@ -95,39 +104,54 @@ def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str =
     rows = slim.join(F.broadcast(heavy), ["g1", "g2"], "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces"))).otherwise(0).cast("int"))
     light_units = groups.where(F.col("bytes") <= fair).select("g1", "g2", F.lit(0).alias("piece"), "n", "bytes")
     heavy_units = rows.where("pieces is not null").groupBy("g1", "g2", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    bucket = F.pmod(F.xxhash64("g1", "g2", "piece"), F.lit(buckets)).cast("int")
-    units = light_units.unionByName(heavy_units).withColumn("b", bucket).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    # Units heavier than a bucket's fair part of a shard would unbalance it, and stand by themselves.
+    light = max(1, (total[0] or 0) // (k * buckets))
+    units = scratch.write(light_units.unionByName(heavy_units).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")), "units")
+    n_large = units.where(F.col("bytes") > light).count() if buckets > 1 else 0
+    spot = F.xxhash64("g1", "g2", "piece")
+    own = F.pmod(spot, F.lit(max(1, n_large))) + buckets
+    units = units.withColumn("b", F.when((F.col("bytes") > light) & F.lit(buckets > 1), own).otherwise(F.pmod(spot, F.lit(buckets))).cast("int"))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[["g1", "g2", "piece", "b", "n", "bytes", "blocks"]].assign(s=deal_units(pdf, k).astype("int32"))
 
-    dealt = scratch.write(units.groupBy("b").applyInPandas(deal, "g1 long, g2 long, piece int, b int, n long, bytes long, blocks int, s int"), "dealt")
+    dealt = scratch.write(units.where("b > 0").groupBy("b").applyInPandas(deal, "g1 long, g2 long, piece int, b int, n long, bytes long, blocks int, s int"), "dealt")
 
     # Level by level: partial partitions of buckets, then of groups of buckets.
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf["b"].unique())
-        sums = np.zeros((len(ids), k), np.int64)
-        sums[np.searchsorted(ids, pdf["b"]), pdf["s"]] = pdf["bytes"]
+        ids, sums = _sums(pdf, k)
         maps, _ = difference(list(sums))
         return pd.DataFrame({"b": np.repeat(ids, k).astype("int32"), "s": np.tile(np.arange(k), len(ids)).astype("int32"), "to": np.concatenate(maps).astype("int32"), "bytes": sums.ravel(), "parent": np.int32(pdf["p"].iloc[0])})
 
     sums = dealt.groupBy("b", "s").agg(F.sum("bytes").alias("bytes"))
-    place, n, step = None, buckets, 0
-    while True:
-        parent = (F.col("b") / F.lit(fan_in)).cast("int") if n > fan_in else F.lit(0)
-        out = scratch.write(sums.withColumn("p", parent).groupBy("p").applyInPandas(level, "b int, s int, to int, bytes long, parent int"), f"level{step}")
-        if place is None:
-            place = out.select(F.col("b").alias("b0"), F.col("s").alias("s0"), F.col("parent").alias("b"), F.col("to").alias("s"))
-        else:
-            place = place.join(out, ["b", "s"]).select("b0", "s0", F.col("parent").alias("b"), F.col("to").alias("s"))
+    place = dealt.select("b", "s").distinct().select(F.col("b").alias("b0"), F.col("s").alias("s0"), "b", "s")
+    n, step = buckets + n_large, 0
+    while n > fan_in:
+        out = scratch.write(sums.withColumn("p", (F.col("b") / F.lit(fan_in)).cast("int")).groupBy("p").applyInPandas(level, "b int, s int, to int, bytes long, parent int"), f"level{step}")
+        place = place.join(out, ["b", "s"]).select("b0", "s0", F.col("parent").alias("b"), F.col("to").alias("s"))
         sums = out.groupBy(F.col("parent").alias("b"), F.col("to").alias("s")).agg(F.sum("bytes").alias("bytes"))
-        if n <= fan_in:
-            break
         n, step = -(-n // fan_in), step + 1
-    place = place.select(F.col("b0").alias("b"), F.col("s0").alias("s"), F.col("s").alias("shard"))
+
+    # At last what is left, with bucket 0's units one by one: they even out what the others leave.
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, unit = pdf[~pdf["unit"]], pdf[pdf["unit"]]
+        unit = unit.sort_values(["bytes", "piece", "g1", "g2"], ascending=False)
+        ids, sums = _sums(part, k)
+        partials = list(sums) + [np.eye(1, k, dtype=np.int64)[0] * x for x in unit["bytes"]]
+        maps, _ = difference(partials)
+        whole = pd.DataFrame({"unit": False, "b": np.repeat(ids, k), "s": np.tile(np.arange(k), len(ids)), "g1": 0, "g2": 0, "piece": 0, "shard": np.concatenate([np.zeros(0, np.int64), *maps[: len(ids)]])})
+        single = unit[["unit", "b", "s", "g1", "g2", "piece"]].assign(shard=[int(m[0]) for m in maps[len(ids) :]])
+        return pd.concat([whole, single])
+
+    zero, ddl = F.lit(0), "unit boolean, b int, s int, g1 long, g2 long, piece int, shard int"
+    left = sums.select(F.lit(False).alias("unit"), "b", "s", "bytes", zero.cast("long").alias("g1"), zero.cast("long").alias("g2"), zero.alias("piece"))
+    single = units.where("b = 0").select(F.lit(True).alias("unit"), "b", zero.alias("s"), "bytes", "g1", "g2", "piece")
+    final = scratch.write(left.unionByName(single).groupBy(F.lit(0).alias("all")).applyInPandas(top, ddl), "final")
+    place = place.join(final.where("not unit").select("b", "s", "shard"), ["b", "s"]).select(F.col("b0").alias("b"), F.col("s0").alias("s"), "shard")
 
     # A slot is the rank within a block of bounded rows plus what the shard's earlier blocks hold.
     unit_of = dealt.join(place, ["b", "s"]).select("g1", "g2", "piece", "b", "blocks", "shard")
+    unit_of = unit_of.unionByName(units.where("b = 0").join(final.where("unit").select("g1", "g2", "piece", "shard"), ["g1", "g2", "piece"]).select(*unit_of.columns))
     placed = rows.select("id", "size", "text_crc32", "g1", "g2", "piece").join(unit_of, ["g1", "g2", "piece"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")).select("id", "size", "text_crc32", "shard", "b", "block")
     placed = scratch.write(placed, "placed")
