@@ -115,8 +115,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, masks=MASKS, window: int = W
     n_docs = scratch.write(n_docs, "hit_docs")
     texts = slim.join(broadcast_if_small(n_docs, n_docs.count()), (slim.doc_id.eqNullSafe(n_docs.doc_id)) & (slim.text_hash == n_docs.text_hash), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     pairs = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.collect_set("shift").alias("shifts")).join(broadcast_if_small(items, item_rows, 20_000), "item_id")
-    t = texts.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "text")
-    pairs = pairs.join(t, pairs.doc_id.eqNullSafe(t["_d"]) & (pairs.text_hash == t["_h"])).select("doc_id", "text_hash", "item_id", "item_text", "shifts", "text")
+    t = texts.select(F.col("doc_id").alias("__kv_doc"), F.col("text_hash").alias("__kv_hash"), "text")
+    pairs = pairs.join(t, pairs.doc_id.eqNullSafe(t["__kv_doc"]) & (pairs.text_hash == t["__kv_hash"])).select("doc_id", "text_hash", "item_id", "item_text", "shifts", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +136,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, masks=MASKS, window: int = W
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents without a verified overlap with the benchmark."""
     scratch = Scratch(docs.sparkSession, "clean")
-    bad = scratch.write(contaminated(docs, bench).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "bad")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    bad = scratch.write(contaminated(docs, bench).select(F.col("doc_id").alias("__kv_doc"), F.col("text_hash").alias("__kv_hash")).distinct(), "bad")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__kv_doc")) & (F.xxhash64("text") == F.col("__kv_hash"))
     return docs.join(broadcast_if_small(bad, bad.count()), on, "left_anti")
 
 

@@ -156,13 +156,13 @@ def filter_documents(docs: DataFrame, **limits) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality")
     judged = judge(docs, scratch, **limits)
     changes = scratch.write(judged.where("not kept or frequent is not null").select("doc_id", "text_hash", "kept", "frequent").dropDuplicates(["doc_id", "text_hash"]), "changes")
-    small = broadcast_if_small(changes.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("kept").alias("_kept"), F.col("frequent").alias("_lines")), changes.count(), 50_000)
-    joined = docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_h")), "left").where("_kept is null or _kept").drop("_d", "_h", "_kept")
+    small = broadcast_if_small(changes.select(F.col("doc_id").alias("__kv_doc"), F.col("text_hash").alias("__kv_hash"), F.col("kept").alias("__kv_kept"), F.col("frequent").alias("__kv_lines")), changes.count(), 100_000)
+    joined = docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("__kv_doc")) & F.xxhash64("text").eqNullSafe(F.col("__kv_hash")), "left").where("__kv_kept is null or __kv_kept").drop("__kv_doc", "__kv_hash", "__kv_kept")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            lines = batch.column(names.index("_lines")).to_pylist()
+            lines = batch.column(names.index("__kv_lines")).to_pylist()
             if any(lines):
                 text = batch.column(names.index("text")).to_pylist()
                 chars = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
@@ -175,7 +175,7 @@ def filter_documents(docs: DataFrame, **limits) -> DataFrame:
                     if values is not None:
                         k = names.index(name)
                         batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
-            yield batch.select([c for c in names if c != "_lines"])
+            yield batch.select([c for c in names if c != "__kv_lines"])
 
     return joined.mapInArrow(cut, docs.schema)
 
