@@ -117,7 +117,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "host", "text_hash", *_COUNTS, "lines", "line_words"])
 
 
-def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", least_docs: int = 50, share: float = 0.1, least_words: int = 20, most_removed: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", least_docs: int = 50, share: float = 0.1, least_words: int = 5, most_removed: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, the base figures, base_failed, kept, frequent (hashes of lines that go)."""
     text = F.col("text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text, F.xxhash64(text).alias("text_hash"))

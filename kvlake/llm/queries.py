@@ -52,7 +52,7 @@ f as (
 ),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
-  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and n_words - gone >= 20 and gone <= 0.5 * n_words as kept, cast(gone as bigint) as n_removed_words
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and n_words - gone >= 5 and gone <= 0.5 * n_words as kept, cast(gone as bigint) as n_removed_words
 from b
 """
 
