@@ -282,7 +282,7 @@ def labelled_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache
-def train(n: int = 2400, hidden: int = 24, epochs: int = 8, batch: int = 100, rate: float = 0.02, seed: int = 3) -> Tagger:
+def train(n: int = 3000, hidden: int = 24, epochs: int = 9, batch: int = 100, rate: float = 0.02, seed: int = 3) -> Tagger:
     rng = np.random.default_rng(seed)
     ids, tags = labelled_windows(n, seed)
     k = hidden
