@@ -131,10 +131,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 12_000, fold
 
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     fit = base.where("not held_out and doc_id is not null").join(marked, "doc_id", "left")
-    counts = fit.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality").isNotNull())).first()
+    counts = fit.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality").isNotNull()), F.count("*")).first()
     prior = counts[0] / counts[1] if counts[1] else 0.5
-    few = lambda rows: np.array([r[0] for r in rows.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(most).select("x").collect()], np.float32).reshape(-1, N_FEATURES)
-    p, u = few(fit.where("quality = 1")), few(fit.where("quality is null"))
+
+    def few(rows: DataFrame, total: int) -> np.ndarray:
+        """At most `most` rows. A share of the hashes is taken first, so that tasks send no more than that."""
+        spot = F.xxhash64("doc_id", F.lit(3))
+        some = rows.where(F.pmod(spot, F.lit(1 << 40)) < int(min(1.0, 1.2 * most / max(1, total)) * (1 << 40)))
+        return np.array([r[0] for r in some.orderBy(spot).limit(most).select("x").collect()], np.float32).reshape(-1, N_FEATURES)
+
+    p, u = few(fit.where("quality = 1"), counts[0]), few(fit.where("quality is null"), counts[2] - counts[1])
     network = train(p, u, min(prior, 0.99)) if len(p) and len(u) else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
