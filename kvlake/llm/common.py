@@ -26,11 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, as documents are long; an own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables in the shared folder. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -187,7 +195,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def small_slices(batch, column: str = "text", most: int = 1 << 19):
+def small_slices(batch, column: str = "text", most: int = 1 << 18):
     """Slices of an Arrow batch with about so many bytes of text, never less than a row."""
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
     at = 0

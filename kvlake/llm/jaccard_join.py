@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with prefix trees, to connected groups of documents.
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Sets are ordered globally:
-shingles that a large share of documents hold come last, others by hash. Two sets with Jaccard of
+shingles that many documents hold come last, by the magnitude of their number, others by hash. Two sets with Jaccard of
 at least 0.75 share an element among the first n - ceil(0.75 n) + 1 of each, so these prefixes are
 the roots under which partners meet.
 
@@ -9,7 +9,9 @@ the roots under which partners meet.
 2. Classes that share one of four min-hashes are compared with the smallest class among them, which
    joins most copies of a text by as many comparisons as there are copies.
 3. Prefix elements that still stand in two or more groups bring up the pairs across groups that
-   size and position allow; large ones in blocks. Pairs within a group can't change the result.
+   size, position and histogram allow; large ones in blocks. Pairs within a group can't change the
+   result. (Histogram: elements counted by 128 classes of hash. Two sets differ by at least the sum
+   of the counts' differences, and sets that link by at most a seventh of their sizes' sum.)
 4. Compared sets stand in a trie, ordered by hash; a probe walks it, sets with a common beginning
    share the partial overlap, and a subtree is left when the remaining lengths can't reach 0.75.
 5. Links give components by alternating star steps.
@@ -33,6 +35,7 @@ from .common import Scratch, Words, broadcast_if_small, mix64, read_table, small
 
 SIZE = 5
 KEYS = 4
+CLASSES = 128
 _SALT = mix64(np.arange(1, KEYS + 2, dtype=np.uint64))
 
 
@@ -41,6 +44,14 @@ def needed(a: int, b: int) -> int:
     return -(-3 * (a + b) // 7)
 
 
+def histogram(whole: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of each set's elements by class of hash, up to 255; whole: the sets one after another."""
+    owner = np.repeat(np.arange(len(n)), n)
+    kind = (whole >> np.uint64(57)).astype(np.int64)
+    counts = np.bincount(owner * CLASSES + kind, minlength=len(n) * CLASSES)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(len(n), CLASSES)
+
+
 def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
@@ -114,49 +125,59 @@ def probe_trie(root: Node, probe: np.ndarray) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- passes over the texts
 
 
-def hot_shingles(docs: DataFrame, share: float, least: int) -> DataFrame:
-    """Shingles that at least this share of a partition's documents hold: few, as they fill the sets."""
+def common_shingles(docs: DataFrame, fold_at: int = 1_500_000) -> DataFrame:
+    """(h, n): shingles that two or more documents of one stretch of a partition hold, with their documents there.
+
+    A shingle of many documents meets itself within a stretch long before it fills the corpus, so
+    the sums order shared passages well. They only order: any order gives the same links.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_h, kept_n, n_docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         waiting: list[np.ndarray] = []
 
-        def fold(kept_h, kept_n):
+        def fold() -> pa.RecordBatch:
             h = np.sort(np.concatenate(waiting)) if waiting else np.zeros(0, np.uint64)
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(h)))
-            twice = n > 1  # what stands once in a million shingles is not common
-            h = np.concatenate([kept_h, h[first[twice]]])
-            n = np.concatenate([kept_n, n[twice]])
-            values, inverse = np.unique(h, return_inverse=True)
-            return values, np.bincount(inverse, n, len(values)).astype(np.int64)
+            some = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(h[first[some]].view(np.int64)), pa.array(n[some], pa.int64())], ["h", "n"])
 
         held = 0
         for batch in batches:
             for part in small_slices(batch):
-                sets, w = sets_of(part.column(0))
-                n_docs += w.n_docs
+                sets, _ = sets_of(part.column(0))
                 waiting += sets
                 held += sum(map(len, sets))
-                if held > 1_000_000:
-                    kept_h, kept_n = fold(kept_h, kept_n)
-                    waiting, held = [], 0
-                    if len(kept_h) > 500_000:
-                        some = kept_n >= share * n_docs / 4
-                        kept_h, kept_n = kept_h[some], kept_n[some]
-        kept_h, kept_n = fold(kept_h, kept_n)
-        some = kept_n >= max(least, share * n_docs)
-        yield pa.RecordBatch.from_arrays([pa.array(kept_h[some].view(np.int64)), pa.array(kept_n[some])], ["h", "n"])
+                if held > fold_at:
+                    yield fold()
+                    waiting.clear()
+                    held = 0
+        yield fold()
 
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def sketches(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (of the whole set), keys (min-hashes), prefix (in the global order)."""
-    handed = docs.sparkSession.sparkContext.broadcast(hot)
+def most_common(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, class): those of the highest classes of log2(n), as many classes as fit the bound."""
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = {r[0]: r[1] for r in counted.groupBy(level.alias("c")).count().collect()}
+    least, total = 64, 0
+    for c in sorted(sizes, reverse=True):
+        if c < 2 or total + sizes[c] > most:
+            break
+        least, total = c, total + sizes[c]
+    got = counted.where(level >= least).select("h", level.alias("c")).toPandas()
+    h = got["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], got["c"].to_numpy(np.int8)[order]
+
+
+def sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n, s1, s2 (of the whole set), keys (min-hashes), prefix (in the global order), classes (histogram)."""
+    handed = docs.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = handed.value
+        listed, level = handed.value
         for batch in batches:
             for part in small_slices(batch):
                 sets, _ = sets_of(part.column(1))
@@ -173,56 +194,70 @@ def sketches(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     for k in range(KEYS):
                         keys[some, k] = np.minimum.reduceat(mix64(whole ^ _SALT[k]), bounds[some])
                 prefixes = []
-                is_hot = np.isin(whole, common) if len(common) else None
+                late = np.zeros(len(whole), np.int8)
+                if len(listed):
+                    at = np.searchsorted(listed, whole)
+                    at[at == len(listed)] = 0
+                    late = np.where(listed[at] == whole, level[at], 0)
                 for i, one in enumerate(sets):
                     p = prefix_length(len(one)) if len(one) else 0
-                    if is_hot is not None and len(one):
-                        late = is_hot[bounds[i] : bounds[i] + len(one)]
-                        if late[:p].any():
-                            one = np.concatenate([one[~late], one[late]])
+                    own = late[bounds[i] : bounds[i] + len(one)]
+                    if own[:p].any():
+                        one = one[np.argsort(own, kind="stable")]
                     prefixes.append(one[:p].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(s[0].view(np.int64)), pa.array(s[1].view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "s1", "s2", "keys", "prefix"],
+                    [part.column(0), pa.array(n), pa.array(s[0].view(np.int64)), pa.array(s[1].view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array([x.tobytes() for x in histogram(whole, n)], pa.binary())],
+                    ["doc_id", "n", "s1", "s2", "keys", "prefix", "classes"],
                 )
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, keys array<long>, prefix array<long>")
+    return docs.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, keys array<long>, prefix array<long>, classes binary")
+
 
+def sets_for(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """probe, part, id, elements (sorted, as bytes): a document's set for each of its wanted places.
 
-def full_sets(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """id, elements (sorted, as bytes) of the listed documents."""
+    wanted: id, places (array of probe and part). Broadcast while counted small; beyond it a shuffle join.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_slices(batch):
                 sets, _ = sets_of(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
+                places = part.column(2)
+                owner = np.repeat(np.arange(len(sets)), places.value_lengths().to_numpy())
+                flat = places.flatten()
+                raw = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([flat.field("probe"), flat.field("part"), part.column(0).take(pa.array(owner)), raw.take(pa.array(owner))], ["probe", "part", "id", "elements"])
 
-    listed = docs.join(broadcast_if_small(ids, rows), docs.doc_id == ids.id, "left_semi")
-    return listed.mapInArrow(make, "id long, elements binary").dropDuplicates(["id"])
+    listed = docs.join(broadcast_if_small(wanted, rows, 200_000), docs.doc_id == wanted.id).select("doc_id", "text", "places")
+    return listed.mapInArrow(make, "probe long, part long, id long, elements binary")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, chunk: int = 64) -> DataFrame:
     """The pairs (a, b) of distinct documents that link; a's stand in tries that b's probe."""
     pairs = scratch.write(pairs, f"{name}_pairs")
-    ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}_ids")
-    sets = scratch.write(full_sets(docs, ids, ids.count()), f"{name}_sets")
     per = pairs.groupBy("b").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt = pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
-    standing = dealt.join(sets, dealt.a == sets.id).select("b", "chunk", "a", "elements")
-    asked = dealt.select(F.col("b").alias("probe"), F.col("chunk").alias("part")).distinct()
-    probes = asked.join(sets, asked.probe == sets.id).select("probe", "part", F.col("elements").alias("sought"))
+    dealt = scratch.write(pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("part")), f"{name}_dealt")
+    place = F.struct(F.col("b").alias("probe"), "part")
+    stand = scratch.write(dealt.groupBy(F.col("a").alias("id")).agg(F.collect_list(place).alias("places")), f"{name}_standing")
+    standing = sets_for(docs, stand, stand.count())
+    asked = dealt.select("b", "part").distinct()
+    ask = scratch.write(asked.groupBy(F.col("b").alias("id")).agg(F.array(F.struct(F.min("b").alias("probe"), F.lit(0).cast("long").alias("part"))).alias("places")), f"{name}_probes")
+    sets = sets_for(docs, ask, ask.count()).select(F.col("id").alias("of"), F.col("elements").alias("sought"))
+    probes = asked.join(sets, asked.b == sets["of"]).select("b", F.col("part").alias("p"), "sought")
 
     def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         trie = build_trie([np.frombuffer(x, np.uint64) for x in left["elements"]])
         hits = probe_trie(trie, np.frombuffer(right["sought"].iloc[0], np.uint64))
-        ids = left["a"].to_numpy()
-        return pd.DataFrame({"a": ids[[i for i, _ in hits]], "b": np.full(len(hits), right["probe"].iloc[0])})
+        ids = left["id"].to_numpy()
+        return pd.DataFrame({"a": ids[[i for i, _ in hits]], "b": np.full(len(hits), right["b"].iloc[0])})
 
-    out = standing.groupBy("b", "chunk").cogroup(probes.groupBy("probe", "part")).applyInPandas(walk, "a long, b long")
-    return scratch.write(out, f"{name}_links")
+    out = scratch.write(standing.groupBy("probe", "part").cogroup(probes.groupBy("b", "p")).applyInPandas(walk, "a long, b long"), f"{name}_links")
+    for done in ("pairs", "dealt", "standing", "probes"):
+        scratch.drop(f"{name}_{done}")
+    return out
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -247,14 +282,22 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
 
 
-def cross_pairs(postings: DataFrame, scratch: Scratch, block: int = 256) -> DataFrame:
-    """Pairs of different groups that share a prefix element and that size and position allow."""
-    per = postings.groupBy("h").agg(F.count("*").alias("members"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("h", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+def cross_pairs(heads: DataFrame, scratch: Scratch, block: int = 256) -> DataFrame:
+    """Pairs of different groups that share a prefix element and that size and position allow.
+
+    heads: id, comp, n, classes, prefix. A pair is wanted once, at its first common element: what
+    follows another common element within three places is passed over.
+    """
+    keys = heads.select("comp", F.explode("prefix").alias("h"))
+    per = keys.groupBy("h").agg(F.count("*").alias("members"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("h", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     per = scratch.write(per, "shared")
-    met = postings.join(broadcast_if_small(per, per.count(), 200_000), "h")
+    posting = F.transform("prefix", lambda h, i: F.struct(h.alias("h"), i.alias("at"), *[F.get("prefix", i - k).alias(f"p{k}") for k in (1, 2, 3)]))
+    postings = heads.select("id", "comp", "n", "classes", F.inline(posting))
+    met = postings.join(broadcast_if_small(per, per.count(), 2_000_000), "h")
     met = met.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("h", F.least("k", "o").alias("k1"), F.greatest("k", "o").alias("k2"), F.struct("k", "id", "comp", "n", "at").alias("x"))
+    before = [F.coalesce(c, F.lit(0)).alias(c) for c in ("p1", "p2", "p3")]
+    met = met.select("h", F.least("k", "o").alias("k1"), F.greatest("k", "o").alias("k2"), F.struct("k", "id", "comp", "n", "at", "classes", *before).alias("x"))
     groups = met.groupBy("h", "k1", "k2").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +305,8 @@ def cross_pairs(postings: DataFrame, scratch: Scratch, block: int = 256) -> Data
             found = []
             xs = batch.column(2)
             flat = xs.flatten()
-            c = {f: flat.field(f).to_numpy() for f in ("k", "id", "comp", "n", "at")}
+            c = {f: flat.field(f).to_numpy() for f in ("k", "id", "comp", "n", "at", "p1", "p2", "p3")}
+            counts = np.frombuffer(b"".join(flat.field("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
             bounds = np.concatenate([[0], np.cumsum(xs.value_lengths().to_numpy())])
             same = (batch.column(0).to_numpy() == batch.column(1).to_numpy())
             for g in range(len(xs)):
@@ -274,29 +318,37 @@ def cross_pairs(postings: DataFrame, scratch: Scratch, block: int = 256) -> Data
                     good &= k[a] != k[b]
                 a, b = a[good], b[good]
                 na, nb, pa_, pb = n[a], n[b], at[a], at[b]
-                most = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
-                good = 7 * most >= 3 * (na + nb)
-                a, b = i[a[good]], i[b[good]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                good = (7 * np.minimum(na - pa_, nb - pb) >= 3 * (na + nb)) & (7 * (pa_ + pb) <= na + nb)
+                for x in (1, 2, 3):  # an element before this one that is common as well
+                    for y in (1, 2, 3):
+                        good &= ~((pa_ >= x) & (pb >= y) & (c[f"p{x}"][s][a] == c[f"p{y}"][s][b]))
+                a, b, both = a[good], b[good], (na + nb)[good]
+                own = counts[s]
+                for at in range(0, len(a), 8192):  # bounded memory, however many pairs
+                    x, y = a[at : at + 8192], b[at : at + 8192]
+                    near = 7 * np.abs(own[x] - own[y]).sum(1) <= both[at : at + 8192]
+                    found.append(np.stack([np.minimum(i[x[near]], i[y[near]]), np.maximum(i[x[near]], i[y[near]])], 1))
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return groups.select("k1", "k2", "xs").mapInArrow(pair, "a long, b long").distinct()
 
 
-def link_groups(docs: DataFrame, hot_share: float = 0.01, hot_least: int = 24, hot_most: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id: one row per row of docs."""
+def link_groups(docs: DataFrame, most_listed: int = 1 << 21) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id: one row per row of docs.
+
+    most_listed bounds the list of common shingles that is broadcast (9 bytes each).
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Where documents hold so many common shingles that the list outgrows its bound, hash order alone
-    # is as exact; only more pairs are looked at.
-    hot = scratch.write(hot_shingles(docs, hot_share, hot_least), "hot")
-    listed = np.sort(np.array([r[0] for r in hot.select("h").collect()], np.int64)).view(np.uint64) if hot.count() <= hot_most else np.zeros(0, np.uint64)
-    base = scratch.write(sketches(docs, np.sort(listed)), "sketches")
+    common = most_common(scratch.write(common_shingles(docs), "common"), most_listed)
+    base = scratch.write(sketches(docs, common), "sketches")
 
     classes = scratch.write(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
-    of_class = base.join(classes.select("class_id"), base.doc_id == F.col("class_id"), "left_semi").where("n > 0")
-    heads = scratch.write(of_class.dropDuplicates(["doc_id"]), "heads")
+    # The others of each class are the fewer.
+    others = base.where("n > 0").join(classes, ["n", "s1", "s2"]).where("doc_id != class_id").select(F.col("doc_id").alias("other")).distinct()
+    others = scratch.write(others, "others")
+    heads = base.where("n > 0").join(broadcast_if_small(others, others.count(), 200_000), base.doc_id == F.col("other"), "left_anti")
 
     keyed = heads.select("doc_id", F.posexplode("keys").alias("k", "key"))
     pivots = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -305,9 +357,8 @@ def link_groups(docs: DataFrame, hot_share: float = 0.01, hot_least: int = 24, h
     found = components(first, scratch, "first")
     found = scratch.write(found, "found")
 
-    grouped = heads.join(found, heads.doc_id == found.id, "left").select(F.col("doc_id").alias("id"), F.coalesce("comp", "doc_id").alias("comp"), "n", "prefix")
-    postings = grouped.select("id", "comp", "n", F.posexplode("prefix").alias("at", "h"))
-    second = linked(docs, cross_pairs(postings, scratch), scratch, "cross")
+    grouped = heads.join(broadcast_if_small(found, found.count(), 200_000), heads.doc_id == found.id, "left").select(F.col("doc_id").alias("id"), F.coalesce("comp", "doc_id").alias("comp"), "n", "prefix", "classes")
+    second = linked(docs, cross_pairs(grouped, scratch), scratch, "cross")
     final = scratch.write(components(first.union(second), scratch, "final"), "components")
 
     out = base.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
@@ -319,16 +370,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one of each group: that with the group's smallest doc_id."""
     scratch = Scratch(docs.sparkSession, "keep_one")
     groups = scratch.write(link_groups(docs), "groups")
-    gone = scratch.write(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_d")).distinct(), "gone")
-    twice = scratch.write(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_t")), "twice")
+    gone = scratch.write(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__kv_doc")).distinct(), "gone")
+    twice = scratch.write(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__kv_twice")), "twice")
     on = lambda t, c: F.col("doc_id").cast("long") == F.col(c)
-    kept = docs.join(broadcast_if_small(gone, gone.count()), on(gone, "_d"), "left_anti")
+    kept = docs.join(broadcast_if_small(gone, gone.count()), on(gone, "__kv_doc"), "left_anti")
     n = twice.count()
     if n == 0:
         return kept
-    single = kept.join(broadcast_if_small(twice, n), on(twice, "_t"), "left_anti")
-    return single.unionByName(kept.join(broadcast_if_small(twice, n), on(twice, "_t"), "left_semi").dropDuplicates(["doc_id"]))
+    single = kept.join(broadcast_if_small(twice, n), on(twice, "__kv_twice"), "left_anti")
+    return single.unionByName(kept.join(broadcast_if_small(twice, n), on(twice, "__kv_twice"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_groups(read_table(spark, sf_dir, "documents"))
+    return link_groups(read_table(spark, sf_dir, "documents")).drop("class_id")
