@@ -1,13 +1,14 @@
 """Quality rules, and cross-document line frequency within hosts.
 
 Base rules look at one document. The method hashes each line (its words, A-Z lower-cased, digits
-as 0), counts per host the distinct documents that hold it, and calls a line frequent when these
-are at least `least_docs` and over `share` of the host's documents. Frequent lines are removed; a
-document is rejected when it fails the base rules, when fewer than `least_words` words are left, or
-when over `most_removed` of its words went.
+as 0), counts per host the distinct texts that hold it, and calls a line frequent when these are at
+least `least_docs` and over `share` of the host's distinct texts. Copies of a text count once, so
+that a group of copies doesn't make its own lines frequent. Frequent lines are removed; a document
+is rejected when it fails the base rules, when fewer than `least_words` words are left, or when over
+`most_removed` of its words went.
 
 Null and empty texts have no words and are rejected. A null host is a host of its own. Repeated rows
-count once each. An empty table gives an empty result.
+are judged once each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,9 +124,10 @@ def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", least_doc
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text, F.xxhash64(text).alias("text_hash"))
     ddl = "doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<long>, line_words array<long>"
     m = scratch.write(slim.mapInArrow(_measured, ddl).withColumn("row", F.monotonically_increasing_id()), "measured")
-    per_host = m.groupBy("host").agg(F.count("*").alias("docs"))
-    held = m.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    frequent = scratch.write(held.join(per_host, "host").where(F.col("n") > share * F.col("docs")).select("host", "line"), "frequent")
+    per_host = m.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    lines = m.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
+    held = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    frequent = scratch.write(held.join(per_host, "host").where(F.col("n") > share * F.col("texts")).select("host", "line"), "frequent")
     rows = frequent.count()
     each = m.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     gone = each.join(broadcast_if_small(frequent, rows), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("frequent"))

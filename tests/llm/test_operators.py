@@ -391,6 +391,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark, twice):
     assert quality.filter_documents(twice).columns == twice.columns
 
 
+def test_copies_of_a_text_do_not_make_its_lines_frequent(spark):
+    clean = data.prose(30, 1) + "\n" + data.prose(30, 2)
+    rows = [(i, clean) for i in range(60)] + [(60, clean)] * 5 + [(100 + i, data.prose(40, 3000 + i) + ("\nSubscribe to our letters" if i < 55 else "")) for i in range(125)]
+    table = data.docs(spark, rows).withColumn("source", F.lit("one"))
+    out = quality.judge(table, Scratch(spark, "t")).collect()
+    assert len(out) == len(rows) and all(r["kept"] for r in out)
+    assert all(r["n_removed_words"] == (4 if 100 <= r["doc_id"] < 155 else 0) for r in out)
+    kept = quality.filter_documents(table).collect()
+    assert len(kept) == len(rows) and sum(r["text"] == clean for r in kept) == 65
+
+
 # ---------------------------------------------------------------- HTML
 
 
