@@ -5,6 +5,7 @@ fitting rule decides. For other urls the host decides. Hosts whose pages are mos
 are trusted seeds, those mostly blocked are blocked seeds. Trust is a personalised PageRank from
 the trusted seeds along links; distrust is one from the blocked seeds against the links (who links
 to a blocked host earns distrust). A host is blocked where its distrust share exceeds `threshold`.
+Both run until a round moves less than `tolerance` and reaches no new host, however far that is.
 
 Null urls and urls without `://` have an empty host and path, and no links count for them. Null html
 has no links. Repeated pages count once each. An empty table gives an empty result.
@@ -12,6 +13,8 @@ has no links. Repeated pages count once each. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,25 +54,32 @@ def fitting_rule(host, path, rules) -> tuple:
     return text, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, share of src's links), seeds (host, seed mass of sum 1)."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
+    """Personalised PageRank: edges (src, dst, share of src's links), seeds (host, seed mass of sum 1).
+
+    A round moves at most 2 * damping^round, so rounds need no limit of their own (None): past that
+    bound only those follow that still reach new hosts. Fails when the tolerance isn't met.
+    """
     base = seeds.select("host", ((1 - damping) * F.col("mass")).alias("base"))
     now, step = scratch.write(seeds.select("host", F.col("mass").alias("rank")), f"{name}0"), 0
-    while step < rounds:
+    enough = math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
+    while True:
         sent = now.join(edges, now.host == edges.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("got"))
         new = sent.join(base, sent.dst == base.host, "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("got", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("rank"))
         step += 1
         new = scratch.write(new, f"{name}{step}")
         a, b = now.alias("a"), new.alias("b")
-        moved = a.join(b, "host", "full_outer").agg(F.sum(F.abs(F.coalesce(F.col("a.rank"), F.lit(0.0)) - F.coalesce(F.col("b.rank"), F.lit(0.0))))).first()[0]
+        change = F.sum(F.abs(F.coalesce(F.col("a.rank"), F.lit(0.0)) - F.coalesce(F.col("b.rank"), F.lit(0.0))))
+        moved, reached = a.join(b, "host", "full_outer").agg(change, F.count_if(F.col("a.rank").isNull())).first()
         scratch.drop(f"{name}{step - 1}")
         now = new
-        if (moved or 0.0) < tolerance:
-            break
-    return now
+        if (moved or 0.0) < tolerance and not reached:
+            return now
+        if step >= (rounds or enough) and (rounds or (moved or 0.0) >= tolerance):
+            raise RuntimeError(f"{name}: round {step} moved {moved}, not under {tolerance}, and reached {reached} new hosts")
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 15, tolerance: float = 1e-4) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("url"))

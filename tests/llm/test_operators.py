@@ -346,6 +346,26 @@ def test_ranks_equal_a_dense_solution(spark):
     assert all(abs(got[n] - w) < 1e-6 for n, w in zip(names, want))
 
 
+def test_a_long_chain_and_a_cycle_are_followed_to_the_end(spark):
+    link = lambda h: f'<a href="https://{h}/p">t</a>'
+    chain = [(i, f"http://h{i}.org/", link(f"h{i - 1}.org" if i else "bad.net")) for i in range(70)]
+    ring = [(100, "http://good.com/", link("r0.org"))] + [(101 + i, f"http://r{i}.org/", link(f"r{i + 1}.org" if i < 2 else "good.com")) for i in range(3)]
+    pages = spark.createDataFrame([(99, "http://bad.net/es/1", ""), *chain, *ring], "page_id long, url string, html string").coalesce(1)
+    out = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert all(out[i]["verdict"] == "block" for i in range(70))
+    assert all(abs(out[i]["distrust"] - 0.15 * 0.85 ** (i + 1)) < 1e-4 for i in range(69))
+    assert all(abs(out[100 + k]["trust"] - 0.15 * 0.85**k / (1 - 0.85**4)) < 1e-4 for k in range(4))
+
+
+def test_ranks_fail_when_the_tolerance_is_not_met(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, share double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, mass double")
+    with pytest.raises(RuntimeError, match="not under"):
+        urls.propagate(e, seeds, Scratch(spark, "t"), "few", 0.85, 15, 1e-4)
+    got = {r["host"]: r["rank"] for r in urls.propagate(e, seeds, Scratch(spark, "t"), "all", 0.85, None, 1e-4).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-3 and abs(sum(got.values()) - 1) < 1e-9
+
+
 # ---------------------------------------------------------------- quality rules
 
 
