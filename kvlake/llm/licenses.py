@@ -5,11 +5,14 @@ distinct word n-grams (one to three words), trained here on template paragraphs,
 thinned variants of them, general license statements (the unknown class) and plain sentences. The
 temperature is fitted on variants held out of training, and a family below `least` probability is
 unknown. A family is confirmed when enough of the paragraph's n-grams stand in one of its templates;
-what isn't confirmed is unknown as well. Scoring and comparison are joins and sums of Spark SQL
+what isn't confirmed is unknown as well. Besides the whole line, the stretches of its sentences that
+templates have words in common with are classified, so that a statement isn't lost in a long line; a
+stretch counts only when it is confirmed, holds enough of the template and an n-gram of that family
+alone. Scoring and comparison are joins and sums of Spark SQL
 against two tables whose size the templates fix; only training runs on the driver.
 
 Null and empty texts, and texts without a license term, have license `none`. Repeated rows are each
-judged. Very long lines are classified whole. An empty table gives an empty result.
+judged. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,6 +127,10 @@ PLAIN = [
 
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 NONE, OTHER = "none", "unknown"
+#: Words between two known word pairs of one stretch: none, and as many as a name has.
+GAPS = (0, 3)
+#: n-grams of a template that are asked for in a stretch at most before the share of them is taken: long templates may be cut.
+MOST_ASKED = 24
 
 
 def ngrams(text: str) -> set[str]:
@@ -198,6 +205,17 @@ def _grams(words):
     )
 
 
+def _stretches(words: str, hits: str) -> str:
+    """The runs of an array of words in which known pairs begin at the sorted places `hits`, as SQL."""
+
+    def cut(gap: int) -> str:
+        first = f"filter({hits}, (x, i) -> coalesce(x - get({hits}, i - 1) > {gap + 2}, true))"
+        last = f"filter({hits}, (x, i) -> coalesce(get({hits}, i + 1) - x > {gap + 2}, true))"
+        return f"zip_with({first}, {last}, (a, b) -> slice({words}, a + 1, b - a + 2))"
+
+    return f"array_distinct(concat({', '.join(map(cut, GAPS))}))"
+
+
 def scan(docs: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """doc_id, license, probability, template_overlap, n_paragraphs, families: one row per row of docs.
 
@@ -208,33 +226,53 @@ def scan(docs: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame
     model = train()
     names = [f"w{i}" for i in range(len(model.classes))]
     weights = F.broadcast(spark.createDataFrame([(g, *map(float, model.weights[i] / model.temperature)) for g, i in model.vocabulary.items()], "gram string, " + ", ".join(f"{n} double" for n in names)))
-    templates = F.broadcast(spark.createDataFrame([(f, f"{f}/{k}", g) for f, texts in TEMPLATES.items() for k, t in enumerate(texts) for g in sorted(ngrams(t))], "family string, template string, gram string"))
+    texts = [(f, f"{f}/{k}", ngrams(t)) for f, ts in [*TEMPLATES.items(), (OTHER, UNKNOWN)] for k, t in enumerate(ts)]
+    holders: dict[str, set] = {}
+    for f, _, grams in [*texts, *((NONE, "", ngrams(t)) for t in PLAIN)]:
+        for g in grams:
+            holders.setdefault(g, set()).add(f)
+    templates = F.broadcast(spark.createDataFrame([(f, k, len(grams), g, len(holders[g]) == 1) for f, k, grams in texts for g in sorted(grams)], "family string, template string, size int, gram string, sole boolean"))
+    pairs = F.broadcast(spark.createDataFrame([(g,) for g in sorted({g for *_, grams in texts for g in grams if g.count(" ") == 1})], "pair string"))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     has = F.coalesce(F.col("text").rlike(TERMS), F.lit(False))
     lines = slim.where(has).select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
     lines = lines.select("doc_id", "row", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("par"), x.alias("line"))), lambda s: s["line"].rlike(TERMS)).alias("found"))
     held = scratch.write(lines, "lines")
-    words = held.select("row", F.explode("found").alias("f")).select("row", F.col("f.par").alias("par"), F.regexp_extract_all(F.lower("f.line"), F.lit(f"({_WORD})"), F.lit(1)).alias("words"))
-    grams = scratch.write(words.select("row", "par", _grams("words").alias("grams")), "grams")
+    found = held.select("row", F.explode("found").alias("f")).select("row", F.col("f.par").alias("par"), F.col("f.line").alias("line"))
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD})"), F.lit(1)).alias("words")
+    whole = found.select("row", "par", F.lit("").alias("piece"), split("line"))
+    sentences = found.select("row", "par", F.posexplode(F.split("line", r"(?<=[.!?;])\s+")).alias("sentence", "said")).select("row", "par", "sentence", split("said"))
+    sentences = scratch.write(sentences.where(F.size("words") > 1), "sentences")
+    following = F.expr("transform(sequence(1, size(words) - 1), i -> concat_ws(' ', slice(words, i, 2)))")
+    hits = sentences.select("row", "par", "sentence", F.posexplode(following).alias("at", "pair")).join(pairs, "pair").groupBy("row", "par", "sentence").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+    pieces = sentences.join(hits, ["row", "par", "sentence"]).select("row", "par", "sentence", F.posexplode(F.expr(_stretches("words", "hits"))).alias("k", "words"))
+    pieces = pieces.where(F.array_join("words", " ").rlike(TERMS)).select("row", "par", F.concat_ws("/", "sentence", "k").alias("piece"), "words")
+    grams = scratch.write(whole.unionByName(pieces).select("row", "par", "piece", _grams("words").alias("grams")), "grams")
 
-    each = grams.select("row", "par", F.explode("grams").alias("gram"))
-    sums = each.join(weights, "gram").groupBy("row", "par").agg(*[F.sum(n).alias(n) for n in names])
+    each = grams.select("row", "par", "piece", F.explode("grams").alias("gram"))
+    sums = each.join(weights, "gram").groupBy("row", "par", "piece").agg(*[F.sum(n).alias(n) for n in names])
     logits = F.array(*[F.coalesce(n, F.lit(0.0)) + float(b) / model.temperature for n, b in zip(names, model.bias)])
-    scored = grams.select("row", "par", F.size("grams").alias("n")).join(sums, ["row", "par"], "left").select("row", "par", "n", logits.alias("z"))
+    scored = grams.select("row", "par", "piece", F.size("grams").alias("n")).join(sums, ["row", "par", "piece"], "left").select("row", "par", "piece", "n", logits.alias("z"))
     scored = scored.withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     scored = scored.withColumn("p", F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda s, v: s + v))
     classes = F.array(*map(F.lit, model.classes))
-    scored = scored.withColumn("family", F.element_at(classes, F.array_position("e", F.array_max("e")).cast("int"))).select("row", "par", "n", "p", "family")
-    like = each.join(templates, "gram").groupBy("row", "par", "family", "template").agg(F.count("*").alias("same")).groupBy("row", "par", "family").agg(F.max("same").alias("same"))
-    judged = scored.where(F.col("family") != NONE).join(like, ["row", "par", "family"], "left")
+    scored = scored.withColumn("family", F.element_at(classes, F.array_position("e", F.array_max("e")).cast("int"))).select("row", "par", "piece", "n", "p", "family")
+    asked = F.col("same") >= overlap * F.least("size", F.lit(MOST_ASKED))
+    like = each.join(templates, "gram").groupBy("row", "par", "piece", "family", "template", "size").agg(F.count("*").alias("same"), F.bool_or("sole").alias("sole"))
+    like = like.groupBy("row", "par", "piece", "family").agg(F.max("same").alias("same"), F.bool_or(asked & F.col("sole")).alias("enough"))
+    judged = scored.where(F.col("family") != NONE).join(like, ["row", "par", "piece", "family"], "left")
+    alone = F.col("piece") == ""
     share = F.coalesce(F.col("same"), F.lit(0)) / F.col("n")
-    sure = (F.col("family") != OTHER) & (F.col("p") >= least) & (share >= overlap)
-    judged = judged.select("row", F.when(sure, F.col("family")).otherwise(OTHER).alias("family"), sure.alias("sure"), "p", share.alias("share"))
-    best = judged.groupBy("row").agg(
-        F.max(F.struct("sure", "p", "share", "family")).alias("top"),
+    likely = (F.col("p") >= least) & (share >= overlap)
+    sure = (F.col("family") != OTHER) & likely
+    judged = judged.where(alone | (likely & F.col("enough"))).select("row", "par", F.when(sure, F.col("family")).otherwise(OTHER).alias("family"), sure.alias("sure"), "p", F.when(F.col("family") != OTHER, share).otherwise(0.0).alias("share"))
+    lines = judged.groupBy("row", "par").agg(F.max(F.struct("sure", "p", "share", "family")).alias("top"), F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("stated"))
+    stated = F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.array(F.lit(OTHER)))
+    best = lines.groupBy("row").agg(
+        F.max("top").alias("top"),
         F.count("*").alias("n_paragraphs"),
-        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(stated)))), ",").alias("families"),
     )
     found = held.select("doc_id", "row").join(best, "row", "left").select(
         "doc_id",

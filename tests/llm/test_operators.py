@@ -302,6 +302,21 @@ def test_licenses(spark, twice):
     assert licenses.scan(twice).count() == twice.count()
 
 
+def test_licenses_in_the_middle_of_long_lines(spark):
+    want, rows = {}, []
+    for f, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for before, after in ((data.prose(250, len(rows)), data.prose(250, len(rows) + 1)), ("In the end all of them went home, as the work was done.", "It was late and the rain had stopped.")):
+                want[len(rows)] = f
+                rows.append((len(rows), f"{before} {t} {after}"))
+    plain = len(rows)
+    rows += [(plain, " ".join(licenses.PLAIN * 4)), (plain + 1, "He may use the license of the software, subject to the terms. " * 20), (plain + 2, data.prose(250, 1) + " Licensed under the MIT License. " + data.prose(250, 2) + " Released under the GNU GPL, version 2 or later. " + data.prose(9, 3))]
+    out = {r["doc_id"]: r for r in licenses.scan(data.docs(spark, rows)).collect()}
+    assert {i: out[i]["license"] for i in want} == want
+    assert out[plain]["license"] in ("none", "unknown") and out[plain + 1]["license"] in ("none", "unknown")
+    assert out[plain + 2]["families"] == "GPL,MIT" and out[plain + 2]["n_paragraphs"] == 1
+
+
 def test_ngrams_in_sql_equal_those_of_training(spark):
     text = "Licensed under the Apache License, Version 2.0 (the 'License')"
     df = spark.createDataFrame([(text,), ("one",), ("",)], "t string").select(F.regexp_extract_all(F.lower("t"), F.lit(f"({licenses._WORD})"), F.lit(1)).alias("words"))
