@@ -1,24 +1,29 @@
 """N-gram Jaccard self-join with prefix trees, to connected groups of documents.
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Sets are ordered globally:
-shingles that many documents hold come last, by the magnitude of their number, others by hash. Two sets with Jaccard of
-at least 0.75 share an element among the first n - ceil(0.75 n) + 1 of each, so these prefixes are
-the roots under which partners meet.
-
-1. Equal sets collapse to the class of their smallest doc_id.
-2. Classes that share one of four min-hashes are compared with the smallest class among them, which
-   joins most copies of a text by as many comparisons as there are copies.
-3. Prefix elements that still stand in two or more groups bring up the pairs across groups that
-   size, position and histogram allow; large ones in blocks. Pairs within a group can't change the
-   result. (Histogram: elements counted by 128 classes of hash. Two sets differ by at least the sum
-   of the counts' differences, and sets that link by at most a seventh of their sizes' sum.)
-4. Compared sets stand in a trie, ordered by hash; a probe walks it, sets with a common beginning
-   share the partial overlap, and a subtree is left when the remaining lengths can't reach 0.75.
-5. Links give components by alternating star steps.
-
-No pair that could link is skipped, so the components are exact. Null texts and texts without words
-have an empty set, no links and a component of their own. Rows with one doc_id are one node. An
-empty table gives an empty result.
+shingles that many documents hold come last, by the magnitude of their number, others by hash. Of
+two sets with Jaccard of at least 0.75 and sizes n, the first k shared elements lie within the first
+n - ceil(0.75 n) + k of each (the prefix; k is KEEP here).
+
+1. Equal sets collapse to the class of their smallest doc_id, the others go on.
+2. A set with fewer than k prefix elements that another set's prefix holds can't link and leaves.
+   What is left of the prefixes are short sequences in the global order.
+3. These are stored in tries, one below each element that sets begin to share there (the branch), so
+   that a set stands once in each branch of its first n - ceil(0.75 n) + 1. All sets of a branch walk
+   its trie together: sets with a common beginning share the partial overlap, and a subtree is left
+   when the overlap and the remaining lengths can't reach 0.75. What remains are candidates.
+4. Branches of over BLOCK sets are first walked in blocks of that size, dealt at random anew in every
+   branch. Once the links so found are components, they are walked again between components only: the
+   branch's largest one doesn't probe, and a branch that is still hot is split by the next element
+   that pairs share, up to three elements deep, then by blocks.
+5. Candidates are compared by their whole sets, first each set with its smallest partner, then those
+   whose ends no link connects yet. Links give components by alternating star steps.
+
+No pair that could link is skipped unless its ends are connected already, so components are exact.
+Null texts and texts without words have an empty set, no links and a component of their own; so have
+rows without doc_id (null). Rows with one doc_id are one node, whatever their texts. Texts are read
+whole, of any length. Columns besides doc_id and text are not read. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,26 +38,24 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, broadcast_if_small, mix64, read_table, small_slices, text_buffer
 
 SIZE = 5
-KEYS = 4
-CLASSES = 128
-_SALT = mix64(np.arange(1, KEYS + 2, dtype=np.uint64))
+KEEP = 8
+BLOCK = 64
+#: Elements of a sequence that a trie holds below its branch.
+DEPTH = 6
+#: Paths deeper than this are split by blocks. Different sets that link share at least three elements.
+DEEPEST = 3
+PAD = np.uint32(0xFFFFFFFF)
+_SALT = mix64(np.arange(1, 3, dtype=np.uint64))
 
 
-def needed(a: int, b: int) -> int:
+def needed(a, b):
     """Least intersection of sets of these sizes with 100 * intersection >= 75 * union."""
     return -(-3 * (a + b) // 7)
 
 
-def histogram(whole: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counts of each set's elements by class of hash, up to 255; whole: the sets one after another."""
-    owner = np.repeat(np.arange(len(n)), n)
-    kind = (whole >> np.uint64(57)).astype(np.int64)
-    counts = np.bincount(owner * CLASSES + kind, minlength=len(n) * CLASSES)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(len(n), CLASSES)
-
-
-def prefix_length(n: int) -> int:
-    return n - -(-3 * n // 4) + 1
+def prefix_length(n, k: int = 1):
+    """Elements in which k shared ones must lie; never more than n."""
+    return np.minimum(n, n - -(-3 * n // 4) + k)
 
 
 def sets_of(column) -> tuple[list[np.ndarray], Words]:
@@ -61,67 +63,6 @@ def sets_of(column) -> tuple[list[np.ndarray], Words]:
     return w.shingle_sets(SIZE), w
 
 
-# ---------------------------------------------------------------- the trie
-
-
-class Node:
-    """A run of elements, the sets that end after it, and what may follow. lo, hi: sizes of sets below."""
-
-    __slots__ = ("run", "ends", "children", "lo", "hi")
-
-    def __init__(self, run, ends, children, lo, hi):
-        self.run, self.ends, self.children, self.lo, self.hi = run, ends, children, lo, hi
-
-
-def build_trie(sets: list[np.ndarray]) -> Node:
-    """A trie with runs, of sorted sets; its ends are indices into sets."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    common = []
-    for a, b in zip(order, order[1:]):
-        n = min(len(sets[a]), len(sets[b]))
-        differ = np.flatnonzero(sets[a][:n] != sets[b][:n])
-        common.append(int(differ[0]) if len(differ) else n)
-
-    def make(lo: int, hi: int, depth: int) -> Node:
-        """The subtree of order[lo:hi], whose sets agree on the first `depth` elements."""
-        to = min(common[lo : hi - 1], default=len(sets[order[lo]]))
-        ends, children, at = [], [], lo
-        while at < hi and len(sets[order[at]]) == to:
-            ends.append(order[at])
-            at += 1
-        begin = at
-        for k in range(at, hi):
-            if k == hi - 1 or common[k] == to:
-                children.append(make(begin, k + 1, to))
-                begin = k + 1
-        sizes = [len(sets[i]) for i in order[lo:hi]]
-        return Node(sets[order[lo]][depth:to], ends, children, min(sizes), max(sizes))
-
-    return make(0, len(order), 0)
-
-
-def probe_trie(root: Node, probe: np.ndarray) -> list[tuple[int, int]]:
-    """(index, intersection) of the trie's sets that link with the probe."""
-    out, n = [], len(probe)
-    stack = [(root, 0, 0)]
-    while stack:
-        node, overlap, depth = stack.pop()
-        run = node.run
-        if len(run):
-            at = np.searchsorted(probe, run)
-            at[at == n] = n - 1
-            overlap += int(np.count_nonzero(probe[at] == run))
-            depth += len(run)
-            left = n - int(np.searchsorted(probe, run[-1], "right"))
-        else:
-            left = n
-        if overlap + node.hi - depth < needed(n, node.hi) or overlap + left < needed(n, node.lo):
-            continue
-        out += [(i, overlap) for i in node.ends if overlap >= needed(n, depth)]
-        stack += [(c, overlap, depth) for c in node.children]
-    return out
-
-
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -172,12 +113,27 @@ def most_common(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], got["c"].to_numpy(np.int8)[order]
 
 
-def sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, s1, s2 (of the whole set), keys (min-hashes), prefix (in the global order), classes (histogram)."""
-    handed = docs.sparkSession.sparkContext.broadcast(common)
+def lateness(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Class of each hash in the global order: 0 unless it is listed as common."""
+    listed, level = common
+    if not len(listed):
+        return np.zeros(len(h), np.int8)
+    at = np.searchsorted(listed, h)
+    at[at == len(listed)] = 0
+    return np.where(listed[at] == h, level[at], 0).astype(np.int8)
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """An Arrow column of lists of 64-bit integers."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def sketches(docs: DataFrame, common) -> DataFrame:
+    """doc_id, n, s1, s2 (of the whole set), prefix (in the global order)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, level = handed.value
         for batch in batches:
             for part in small_slices(batch):
                 sets, _ = sets_of(part.column(1))
@@ -185,77 +141,431 @@ def sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                 whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 some = np.flatnonzero(n)
                 bounds = np.cumsum(n) - n
-                mixed = mix64(whole ^ _SALT[KEYS])
                 s = np.zeros((2, len(sets)), np.uint64)
-                keys = np.zeros((len(sets), KEYS), np.uint64)
                 if len(some):
                     s[0, some] = np.add.reduceat(whole, bounds[some])
-                    s[1, some] = np.add.reduceat(mixed, bounds[some])
-                    for k in range(KEYS):
-                        keys[some, k] = np.minimum.reduceat(mix64(whole ^ _SALT[k]), bounds[some])
+                    s[1, some] = np.add.reduceat(mix64(whole ^ _SALT[0]), bounds[some])
+                late = lateness(whole, common.value)
+                length = np.where(n > 0, prefix_length(n, KEEP), 0)
                 prefixes = []
-                late = np.zeros(len(whole), np.int8)
-                if len(listed):
-                    at = np.searchsorted(listed, whole)
-                    at[at == len(listed)] = 0
-                    late = np.where(listed[at] == whole, level[at], 0)
                 for i, one in enumerate(sets):
-                    p = prefix_length(len(one)) if len(one) else 0
                     own = late[bounds[i] : bounds[i] + len(one)]
-                    if own[:p].any():
+                    if own[: length[i]].any():
                         one = one[np.argsort(own, kind="stable")]
-                    prefixes.append(one[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(s[0].view(np.int64)), pa.array(s[1].view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array([x.tobytes() for x in histogram(whole, n)], pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "keys", "prefix", "classes"],
-                )
+                    prefixes.append(one[: length[i]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(s[0].view(np.int64)), pa.array(s[1].view(np.int64)), lists(prefixes)], ["doc_id", "n", "s1", "s2", "prefix"])
+
+    return docs.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+
+
+# ---------------------------------------------------------------- sequences of shared elements
+
+
+def shared_elements(heads: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, h, m: the prefix elements that m > 1 heads hold, for each of these heads.
+
+    The holders of up to three are known from their least, greatest and exclusive-or, so that only
+    elements of more are joined back.
+    """
+    keys = heads.select("id", F.explode("prefix").alias("h"))
+    per = keys.groupBy("h").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x")).where("lo < hi")
+    per = scratch.write(per, "shared")
+    third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    few = per.where("m <= 3").select(F.explode(F.array_distinct(F.when(F.col("m") == 2, F.array("lo", "hi")).otherwise(F.array("lo", "hi", third)))).alias("id"), "h", "m")
+    many = per.where("m > 3").select("h", "m")
+    return few.unionByName(keys.join(broadcast_if_small(many, many.count(), 1_000_000), "h").select("id", "h", "m"))
+
+
+def sequences(heads: DataFrame, common, scratch: Scratch) -> DataFrame:
+    """id, n, order (32-bit keys in the global order), h, at (places in the set), m: a row for each head with enough shared elements."""
+    held = shared_elements(heads, scratch).groupBy("id").agg(F.collect_list(F.struct("h", "m")).alias("held"))
+    least = F.least(F.lit(KEEP), F.ceil(0.75 * F.col("n")))
+    held = scratch.write(held.join(heads.select("id", "n"), "id").where(F.size("held") >= least).select("id", "held").distinct(), "held")
+    rows = held.count()
+    some = heads.join(broadcast_if_small(held.select("id"), rows, 1_000_000), "id", "left_semi").join(held, "id").select("id", "n", "prefix", "held")
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = ([], [], [], [])
+            for prefix, held in zip(batch.column(2), batch.column(3)):
+                p = prefix.values.to_numpy()
+                h, m = (held.values.field(f).to_numpy() for f in ("h", "m"))
+                by = np.argsort(h)
+                h, m = h[by], m[by]
+                spot = np.searchsorted(h, p)
+                spot[spot == len(h)] = 0
+                at = np.flatnonzero(h[spot] == p)
+                one = p[at].view(np.uint64)
+                key = (lateness(one, common.value).astype(np.uint64) << np.uint64(27)) | (one >> np.uint64(37))
+                for x, y in zip(out, (key, one, at, m[spot[at]])):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(lists, out)], ["id", "n", "order", "h", "at", "m"])
+
+    return scratch.write(some.mapInArrow(order, "id long, n long, order array<long>, h array<long>, at array<long>, m array<long>"), "sequences")
+
+
+class Flat:
+    """The sequences of an Arrow batch one after another; owner: the row of each element."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        names = batch.schema.names
+        get = lambda c: batch.column(names.index(c))
+        self.id, self.n = get("id").to_numpy(), get("n").to_numpy()
+        sizes = get("h").value_lengths().to_numpy()
+        self.end = np.cumsum(sizes)
+        self.start = self.end - sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.order, self.h, self.at, self.m = (get(c).flatten().to_numpy() for c in ("order", "h", "at", "m"))
+        self.order = self.order.astype(np.uint32)
+
+    def stand(self, i: np.ndarray) -> list[pa.Array]:
+        """n, at, tail, whole, code of the sequences that begin at elements i: what stands in a trie.
+
+        code: the keys of the next DEPTH elements, then how many places each lies past the one before
+        (up to 255: fewer places only loosen the bounds).
+        """
+        o = self.owner[i]
+        keys = np.full((len(i), DEPTH), PAD, np.uint32)
+        gaps = np.zeros((len(i), DEPTH), np.uint8)
+        for d in range(DEPTH):
+            ok = i + d + 1 < self.end[o]
+            j = np.where(ok, i + d + 1, i)
+            keys[ok, d] = self.order[j[ok]]
+            gaps[ok, d] = np.minimum(255, self.at[j[ok]] - self.at[j[ok] - 1] - 1)
+        code = np.concatenate([keys.view(np.uint8).reshape(len(i), -1), gaps], 1)
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(5 * DEPTH), len(i), [None, pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.binary())
+        return [pa.array(self.n[o]), pa.array(self.at[i]), pa.array(prefix_length(self.n[o], KEEP)), pa.array(i + DEPTH + 1 >= self.end[o]), raw]
+
+
+_STANDS = ["n", "at", "tail", "whole", "code"]
+_STANDS_DDL = "n long, at long, tail long, whole boolean, code binary"
+
+
+# ---------------------------------------------------------------- tries and walks
+
+
+class Stands:
+    """Sequences in cells, as arrays. rest[r, d]: how many elements row r may still share after the first d below its branch."""
+
+    def __init__(self, n, at, tail, whole, code):
+        raw = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), 5 * DEPTH)
+        self.n, self.whole = n, whole
+        self.keys = np.ascontiguousarray(raw[:, : 4 * DEPTH]).view(np.uint32).reshape(len(code), DEPTH)
+        place = at[:, None] + np.cumsum(raw[:, 4 * DEPTH :].astype(np.int64) + 1, 1)
+        real = self.keys != PAD
+        self.known = real.sum(1)
+        self.rest = np.empty((len(code), DEPTH + 1), np.int64)
+        self.rest[:, :DEPTH] = np.where(real, n[:, None] - place, (n - tail)[:, None])
+        self.rest[:, DEPTH] = np.where(whole, n - tail, n - place[:, -1] - 1)
+
+
+class Tries:
+    """A trie for each cell: level d has a node for each distinct beginning of d elements.
+
+    rows: the stored rows, sorted; begin[d]: the first of each node, in order; least, rest: the
+    smallest size and greatest rest below a node; key[d]: its last element.
+    """
+
+    def __init__(self, s: Stands, cell: np.ndarray, stored: np.ndarray):
+        at = np.flatnonzero(stored)
+        self.rows = at[np.lexsort((*s.keys[at].T[::-1], cell[at]))]
+        keys, cells = s.keys[self.rows], cell[self.rows]
+        new = np.concatenate([[True], cells[1:] != cells[:-1]])
+        self.cells = cells[new]
+        self.begin, self.least, self.rest, self.key = [], [], [], []
+        for d in range(DEPTH + 1):
+            if d:
+                new[1:] |= keys[1:, d - 1] != keys[:-1, d - 1]
+            begin = np.flatnonzero(new)
+            self.begin.append(begin)
+            self.least.append(np.minimum.reduceat(s.n[self.rows], begin))
+            self.rest.append(np.maximum.reduceat(s.rest[self.rows, d], begin))
+            self.key.append(keys[begin, d - 1] if d else None)
+
+    def below(self, d: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past the last child (level d + 1) of nodes of level d."""
+        edges = np.append(np.searchsorted(self.begin[d + 1], self.begin[d]), len(self.begin[d + 1]))
+        return edges[node], edges[node + 1]
+
+    def span(self, d: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.append(self.begin[d], len(self.rows))
+        return edges[node], edges[node + 1]
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, value) of all values of ranges."""
+    size = last - first
+    who = np.repeat(np.arange(len(size)), size)
+    return who, first[who] + np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def walk(s: Stands, cell: np.ndarray, stored: np.ndarray, probing: np.ndarray, shared: np.ndarray, at_once: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """(stored row, probing row) of pairs that may link, found by walking all probes through the cells' tries.
+
+    shared: how many elements the path to each row's cell has; all rows of the cell hold them.
+    """
+    none = np.zeros(0, np.int64)
+    if not stored.any() or not probing.any():
+        return none, none
+    tries = Tries(s, cell, stored)
+    probes = np.flatnonzero(probing)
+    root = np.searchsorted(tries.cells, cell[probes])
+    root[root == len(tries.cells)] = 0
+    probes, root = (x[tries.cells[root] == cell[probes]] for x in (probes, root))
+    lo, hi = tries.span(0, root)
+    work = np.cumsum(hi - lo) // at_once
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def leave(d: int, x: np.ndarray, node: np.ndarray, overlap: np.ndarray, rest: np.ndarray) -> None:
+        """The sets below the nodes, by their own sizes and rests."""
+        who, row = spread(*tries.span(d, node))
+        y, x = tries.rows[row], x[who]
+        most = overlap[who] + np.minimum(rest[who], s.rest[y, d])
+        ok = most >= needed(s.n[x], s.n[y])
+        found.append((y[ok], x[ok]))
+
+    for k in range(int(work[-1]) + 1 if len(work) else 0):
+        x, node = probes[work == k], root[work == k]
+        overlap = shared[x]
+        rest = s.rest[x, 0]
+        for d in range(DEPTH):
+            who, child = spread(*tries.below(d, node))
+            key = tries.key[d + 1][child]
+            mine = s.keys[x[who]]
+            same = (mine == key[:, None]).any(1) & (key != PAD)
+            passed = (mine < key[:, None]).sum(1) + same
+            # Past the elements that stand in the probe's code, whether it holds this one isn't known.
+            blind = (key != PAD) & (passed == DEPTH) & ~same & ~s.whole[x[who]]
+            if blind.any():
+                out = who[blind]
+                leave(d + 1, x[out], child[blind], overlap[out] + 1, np.maximum(s.rest[x[out], DEPTH] - 1, 0))
+            more = overlap[who] + same
+            left = np.where(key == PAD, rest[who], s.rest[x[who], np.minimum(passed, DEPTH)])
+            ok = ~blind & (more + np.minimum(left, tries.rest[d + 1][child]) >= needed(s.n[x[who]], tries.least[d + 1][child]))
+            x, node, overlap, rest = x[who][ok], child[ok], more[ok], left[ok]
+        leave(DEPTH, x, node, overlap, rest)
+    return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else (none, none)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by path and salt, in tables that part no cell, with the cell of each row."""
+    held, rows = [], 0
+
+    def cells(t: pa.Table) -> np.ndarray:
+        path, salt = (t.column(c).to_numpy() for c in ("path", "salt"))
+        return np.concatenate([[0], np.cumsum((path[1:] != path[:-1]) | (salt[1:] != salt[:-1]))])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= least:
+            t = pa.Table.from_batches(held)
+            cell = cells(t)
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut:
+                yield t.slice(0, cut), cell[:cut]
+                held, rows = t.slice(cut).to_batches(), len(cell) - cut
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, cells(t)
+
+
+def in_cells(rows: DataFrame, choose) -> DataFrame:
+    """(a, b), a < b: candidates among the rows (path, salt, id, ..., as `stand` gives them) of each cell.
+
+    choose(table) gives which rows are stored, which probe, the length of each one's path, and a
+    filter of pairs (stored row, probing row).
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cell in whole_cells(batches):
+            ids = t.column("id").to_numpy()
+            s = Stands(*(t.column(c).to_numpy() for c in ("n", "at", "tail", "whole")), t.column("code").to_pylist())
+            stored, probing, shared, wanted = choose(t)
+            y, x = walk(s, cell, stored, probing, shared)
+            some = wanted(y, x)
+            ends = np.unique(np.stack([np.minimum(ids[y], ids[x])[some], np.maximum(ids[y], ids[x])[some]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    return rows.repartition("path", "salt").sortWithinPartitions("path", "salt").mapInArrow(meet, "a long, b long").where("a < b").distinct()
+
+
+def branch_candidates(seqs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Candidates of all branches: every pair of a branch of up to `block` sets, and of larger ones those that blocks deal together."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = Flat(batch)
+            every = np.flatnonzero(f.at < prefix_length(f.n)[f.owner])
+            for k in range(0, len(every), 50_000):
+                i = every[k : k + 50_000]
+                o, parts = f.owner[i], -(-f.m[i] // block)
+                salt = (mix64(f.id[o].view(np.uint64) ^ mix64(f.h[i].view(np.uint64))) % parts.astype(np.uint64)).astype(np.int64)
+                before = np.where(i > f.start[o], f.h[np.maximum(i - 1, 0)], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(f.h[i]), pa.array(salt), pa.array(f.id[o]), pa.array(before), *f.stand(i)], ["path", "salt", "id", "before", *_STANDS])
+
+    def choose(t: pa.Table):
+        every = np.ones(t.num_rows, bool)
+        ids, before = t.column("id").to_numpy(), t.column("before").to_numpy()
+        # A pair that shares the element before as well meets in that branch.
+        return every, every, every.astype(np.int64), lambda y, x: (ids[y] < ids[x]) & ((before[y] != before[x]) | (before[y] == 0))
+
+    return in_cells(seqs.mapInArrow(deal, f"path long, salt long, id long, before long, {_STANDS_DDL}"), choose)
+
+
+# ---------------------------------------------------------------- hot branches, between components
+
+
+def hot_rows(seqs: DataFrame, block: int) -> DataFrame:
+    """path, id, i: the elements of sequences, in the first prefix, whose branch has over `block` sets."""
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = Flat(batch)
+            i = np.flatnonzero((f.m > block) & (f.at < prefix_length(f.n)[f.owner]))
+            o = f.owner[i]
+            yield pa.RecordBatch.from_arrays([pa.array(f.h[i]), pa.array(f.id[o]), pa.array(i - f.start[o])], ["path", "id", "i"])
+
+    return seqs.select("id", "n", "order", "h", "at", "m").mapInArrow(hot, "path long, id long, i long")
+
+
+def deeper_rows(seqs: DataFrame, rows: DataFrame, level: int) -> DataFrame:
+    """The rows of paths with `level` elements, each with every next element that a pair could share."""
+    per = rows.groupBy("id").agg(F.collect_list(F.struct("path", "i")).alias("from"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = Flat(batch)
+            for r, held in enumerate(batch.column(batch.schema.names.index("from"))):
+                path, i = (held.values.field(c).to_numpy() for c in ("path", "i"))
+                most = int(np.searchsorted(f.at[f.start[r] : f.end[r]], prefix_length(int(f.n[r]), level + 1)))
+                who, j = spread(i + 1, np.maximum(i + 1, most))
+                for k in range(0, len(j), 50_000):
+                    w, x = who[k : k + 50_000], j[k : k + 50_000]
+                    new = mix64(path[w].view(np.uint64) ^ mix64(f.h[f.start[r] + x].view(np.uint64) + np.uint64(level)))
+                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(np.full(len(w), f.id[r])), pa.array(x)], ["path", "id", "i"])
+
+    return seqs.join(per, "id").mapInArrow(extend, "path long, id long, i long")
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, keys array<long>, prefix array<long>, classes binary")
 
+def hot_candidates(seqs: DataFrame, comps: DataFrame, scratch: Scratch, block: int = BLOCK, cell: int = 1024) -> DataFrame | None:
+    """Candidates of hot branches whose ends are of different components; None where there are none to look at.
 
-def sets_for(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """probe, part, id, elements (sorted, as bytes): a document's set for each of its wanted places.
+    The largest component of a branch doesn't probe. Where over `cell` others do, the branch is split.
+    """
+    small = broadcast_if_small(comps, comps.count(), 500_000)
+    rows, done = hot_rows(seqs, block), []
+    for level in range(1, DEEPEST + 1):
+        rows = rows.join(small, "id", "left").select("path", "id", "i", F.coalesce("comp", "id").alias("comp"))
+        rows = scratch.write(rows, f"hot{level}")
+        of = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
+        per = of.groupBy("path").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where(F.col("all") > F.col("top.c"))
+        per = scratch.write(per.select("path", "all", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.c")).alias("probes")), f"hot_paths{level}")
+        n = per.count()
+        if not n:
+            break
+        met = rows.join(broadcast_if_small(per, n, 300_000), "path")
+        last = level == DEEPEST
+        done.append((met if last else met.where(F.col("probes") <= cell)).withColumn("level", F.lit(level).cast("long")))
+        if last or not per.where(F.col("probes") > cell).count():
+            break
+        rows = deeper_rows(seqs, met.where(F.col("probes") > cell).select("path", "id", "i"), level)
+    if not done:
+        return None
+    placed = done[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
+    own = ["path", "i", "comp", "top", "all", "probes", "level"]
+    per = placed.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("where"))
+
+    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = Flat(batch)
+            where = batch.column(batch.schema.names.index("where"))
+            flat, o = where.flatten(), np.repeat(np.arange(batch.num_rows), where.value_lengths().to_numpy())
+            for k in range(0, len(o), 50_000):
+                part, row = flat.slice(k, 50_000), o[k : k + 50_000]
+                i = part.field("i").to_numpy() + f.start[row]
+                before = np.where((i > f.start[row]) & (part.field("level").to_numpy() == 1), f.h[np.maximum(i - 1, 0)], 0)
+                yield pa.RecordBatch.from_arrays([*[part.field(c) for c in own if c != "i"], pa.array(f.id[row]), pa.array(before), *f.stand(i)], [*[c for c in own if c != "i"], "id", "before", *_STANDS])
+
+    ddl = ", ".join(f"{c} long" for c in own if c != "i") + f", id long, before long, {_STANDS_DDL}"
+    stands = seqs.join(per, "id").mapInArrow(stand, ddl)
+    left, right = F.ceil(F.col("all") / cell), F.ceil(F.col("probes") / cell)
+    i, j = F.pmod(F.xxhash64("id"), left), F.pmod(F.xxhash64("id", F.lit(1)), right)
+    each = lambda n, salt: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), salt)).alias("salt")
+    keep = ["path", "id", "comp", "top", "level", "before", *_STANDS]
+    stored = stands.select(*keep, F.lit(True).alias("stored"), each(right, lambda k: i * right + k))
+    probing = stands.where("comp != top").select(*keep, F.lit(False).alias("stored"), each(left, lambda k: k * right + j))
+
+    def choose(t: pa.Table):
+        stored, level = t.column("stored").to_numpy(), t.column("level").to_numpy()
+        ids, before, comp, top = (t.column(c).to_numpy() for c in ("id", "before", "comp", "top"))
+        once = lambda y, x: (comp[y] == top[y]) | (ids[y] < ids[x])
+        return stored, ~stored, level, lambda y, x: (comp[y] != comp[x]) & once(y, x) & ((before[y] != before[x]) | (before[y] == 0))
+
+    return in_cells(stored.unionByName(probing), choose)
+
+
+# ---------------------------------------------------------------- whole sets
+
+
+def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, chunk: int = 64) -> DataFrame:
+    """The pairs (a, b) of documents that link, by their whole sets.
 
-    wanted: id, places (array of probe and part). Broadcast while counted small; beyond it a shuffle join.
+    The sets of up to `chunk` partners b follow that of their a in one stream, sorted by place.
     """
+    pairs = scratch.write(pairs, f"{name}_pairs")
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    dealt = scratch.write(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), f"{name}_dealt")
+    place = lambda other: F.struct("a", "part", F.lit(other).alias("other"))
+    places = dealt.select(F.col("b").alias("id"), place(True).alias("place")).unionByName(dealt.select("a", "part").distinct().select(F.col("a").alias("id"), place(False).alias("place")))
+    # A document with many places stands in several rows, so that no row grows without bound.
+    places = places.groupBy("id", F.pmod(F.xxhash64("place"), F.lit(1 << 20)).alias("spot"), "place").count().select("id", (F.col("spot") % 16).alias("spot"), "place")
+    wanted = scratch.write(places.groupBy("id", "spot").agg(F.collect_list("place").alias("places")).select("id", "places"), f"{name}_wanted")
+    some = docs.join(broadcast_if_small(wanted, wanted.count(), 100_000), docs.doc_id == wanted.id).select("doc_id", "text", "places")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_slices(batch):
                 sets, _ = sets_of(part.column(1))
-                places = part.column(2)
-                owner = np.repeat(np.arange(len(sets)), places.value_lengths().to_numpy())
-                flat = places.flatten()
+                sizes = part.column(2).value_lengths().to_numpy()
+                flat, owner = part.column(2).flatten(), np.repeat(np.arange(len(sets)), sizes)
+                work = np.cumsum(np.array([8 * len(s) for s in sets], np.int64)[owner]) // (8 << 20)
                 raw = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([flat.field("probe"), flat.field("part"), part.column(0).take(pa.array(owner)), raw.take(pa.array(owner))], ["probe", "part", "id", "elements"])
-
-    listed = docs.join(broadcast_if_small(wanted, rows, 200_000), docs.doc_id == wanted.id).select("doc_id", "text", "places")
-    return listed.mapInArrow(make, "probe long, part long, id long, elements binary")
+                for k in np.unique(work):  # some 8 MB of sets at once
+                    at = np.flatnonzero(work == k)
+                    here, o = flat.take(pa.array(at)), pa.array(owner[at])
+                    yield pa.RecordBatch.from_arrays([here.field("a"), here.field("part"), here.field("other"), part.column(0).take(o), raw.take(o)], ["a", "part", "other", "id", "elements"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, first = None, []
+        for batch in batches:
+            a, part, other, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            found = []
+            for r, raw in enumerate(batch.column(4)):
+                if place != (a[r], part[r]):
+                    place, first = (a[r], part[r]), []
+                s = np.frombuffer(raw.as_py(), np.uint64)
+                if not other[r]:
+                    first.append(s)
+                    continue
+                for t in first:
+                    least = needed(len(s), len(t))
+                    if min(len(s), len(t)) >= least:
+                        at = np.searchsorted(t, s)
+                        at[at == len(t)] = 0
+                        if np.count_nonzero(t[at] == s) >= least:
+                            found.append((a[r], ids[r]))
+                            break
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, chunk: int = 64) -> DataFrame:
-    """The pairs (a, b) of distinct documents that link; a's stand in tries that b's probe."""
-    pairs = scratch.write(pairs, f"{name}_pairs")
-    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt = scratch.write(pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("part")), f"{name}_dealt")
-    place = F.struct(F.col("b").alias("probe"), "part")
-    stand = scratch.write(dealt.groupBy(F.col("a").alias("id")).agg(F.collect_list(place).alias("places")), f"{name}_standing")
-    standing = sets_for(docs, stand, stand.count())
-    asked = dealt.select("b", "part").distinct()
-    ask = scratch.write(asked.groupBy(F.col("b").alias("id")).agg(F.array(F.struct(F.min("b").alias("probe"), F.lit(0).cast("long").alias("part"))).alias("places")), f"{name}_probes")
-    sets = sets_for(docs, ask, ask.count()).select(F.col("id").alias("of"), F.col("elements").alias("sought"))
-    probes = asked.join(sets, asked.b == sets["of"]).select("b", F.col("part").alias("p"), "sought")
-
-    def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        trie = build_trie([np.frombuffer(x, np.uint64) for x in left["elements"]])
-        hits = probe_trie(trie, np.frombuffer(right["sought"].iloc[0], np.uint64))
-        ids = left["id"].to_numpy()
-        return pd.DataFrame({"a": ids[[i for i, _ in hits]], "b": np.full(len(hits), right["b"].iloc[0])})
-
-    out = scratch.write(standing.groupBy("probe", "part").cogroup(probes.groupBy("b", "p")).applyInPandas(walk, "a long, b long"), f"{name}_links")
-    for done in ("pairs", "dealt", "standing", "probes"):
+    sets = some.mapInArrow(make, "a long, part long, other boolean, id long, elements binary")
+    out = sets.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(compare, "a long, b long")
+    out = scratch.write(out, f"{name}_links")
+    for done in ("pairs", "dealt", "wanted"):
         scratch.drop(f"{name}_{done}")
     return out
 
@@ -282,87 +592,56 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
 
 
-def cross_pairs(heads: DataFrame, scratch: Scratch, block: int = 256) -> DataFrame:
-    """Pairs of different groups that share a prefix element and that size and position allow.
-
-    heads: id, comp, n, classes, prefix. A pair is wanted once, at its first common element: what
-    follows another common element within three places is passed over.
-    """
-    keys = heads.select("comp", F.explode("prefix").alias("h"))
-    per = keys.groupBy("h").agg(F.count("*").alias("members"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("h", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    per = scratch.write(per, "shared")
-    posting = F.transform("prefix", lambda h, i: F.struct(h.alias("h"), i.alias("at"), *[F.get("prefix", i - k).alias(f"p{k}") for k in (1, 2, 3)]))
-    postings = heads.select("id", "comp", "n", "classes", F.inline(posting))
-    met = postings.join(broadcast_if_small(per, per.count(), 2_000_000), "h")
-    met = met.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    before = [F.coalesce(c, F.lit(0)).alias(c) for c in ("p1", "p2", "p3")]
-    met = met.select("h", F.least("k", "o").alias("k1"), F.greatest("k", "o").alias("k2"), F.struct("k", "id", "comp", "n", "at", "classes", *before).alias("x"))
-    groups = met.groupBy("h", "k1", "k2").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            xs = batch.column(2)
-            flat = xs.flatten()
-            c = {f: flat.field(f).to_numpy() for f in ("k", "id", "comp", "n", "at", "p1", "p2", "p3")}
-            counts = np.frombuffer(b"".join(flat.field("classes").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-            bounds = np.concatenate([[0], np.cumsum(xs.value_lengths().to_numpy())])
-            same = (batch.column(0).to_numpy() == batch.column(1).to_numpy())
-            for g in range(len(xs)):
-                s = slice(bounds[g], bounds[g + 1])
-                k, i, comp, n, at = (c[f][s] for f in ("k", "id", "comp", "n", "at"))
-                a, b = np.triu_indices(len(i), 1)
-                good = comp[a] != comp[b]
-                if not same[g]:
-                    good &= k[a] != k[b]
-                a, b = a[good], b[good]
-                na, nb, pa_, pb = n[a], n[b], at[a], at[b]
-                good = (7 * np.minimum(na - pa_, nb - pb) >= 3 * (na + nb)) & (7 * (pa_ + pb) <= na + nb)
-                for x in (1, 2, 3):  # an element before this one that is common as well
-                    for y in (1, 2, 3):
-                        good &= ~((pa_ >= x) & (pb >= y) & (c[f"p{x}"][s][a] == c[f"p{y}"][s][b]))
-                a, b, both = a[good], b[good], (na + nb)[good]
-                own = counts[s]
-                for at in range(0, len(a), 8192):  # bounded memory, however many pairs
-                    x, y = a[at : at + 8192], b[at : at + 8192]
-                    near = 7 * np.abs(own[x] - own[y]).sum(1) <= both[at : at + 8192]
-                    found.append(np.stack([np.minimum(i[x[near]], i[y[near]]), np.maximum(i[x[near]], i[y[near]])], 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return groups.select("k1", "k2", "xs").mapInArrow(pair, "a long, b long").distinct()
-
-
-def link_groups(docs: DataFrame, most_listed: int = 1 << 21) -> DataFrame:
+def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(links, components) after the candidates: first each set's smallest partner, then those between components."""
+    both = lambda new: new if links is None else links.unionByName(new)
+    pairs = scratch.write(pairs, f"{name}_candidates")
+    links = both(linked(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), scratch, f"{name}_first"))
+    comps = components(links, scratch, f"{name}_first")
+    comps = scratch.write(comps, f"{name}_first_components")
+    small = broadcast_if_small(comps, comps.count(), 500_000)
+    for c in ("a", "b"):
+        pairs = pairs.join(small.select(F.col("id").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    rest = scratch.write(pairs.where("of_a != of_b").select("a", "b"), f"{name}_rest")
+    if rest.count():
+        links = both(linked(docs, rest, scratch, f"{name}_others"))
+        comps = scratch.write(components(links, scratch, f"{name}_all"), f"{name}_components")
+    return links, comps
+
+
+def link_groups(docs: DataFrame, most_listed: int = 1 << 21, block: int = BLOCK, cell: int = 1024) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id: one row per row of docs.
 
     most_listed bounds the list of common shingles that is broadcast (9 bytes each).
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = most_common(scratch.write(common_shingles(docs), "common"), most_listed)
+    common = spark.sparkContext.broadcast(most_common(scratch.write(common_shingles(docs), "common"), most_listed))
     base = scratch.write(sketches(docs, common), "sketches")
 
-    classes = scratch.write(base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
+    same = ["n", "s1", "s2"]
+    classes = scratch.write(base.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
     # The others of each class are the fewer.
-    others = base.where("n > 0").join(classes, ["n", "s1", "s2"]).where("doc_id != class_id").select(F.col("doc_id").alias("other")).distinct()
+    others = base.where("n > 0").join(classes, same).where("doc_id != class_id").select("doc_id", "class_id", *same).distinct()
     others = scratch.write(others, "others")
-    heads = base.where("n > 0").join(broadcast_if_small(others, others.count(), 200_000), base.doc_id == F.col("other"), "left_anti")
-
-    keyed = heads.select("doc_id", F.posexplode("keys").alias("k", "key"))
-    pivots = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = keyed.join(pivots, ["k", "key"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    first = linked(docs, near, scratch, "near")
-    found = components(first, scratch, "first")
-    found = scratch.write(found, "found")
-
-    grouped = heads.join(broadcast_if_small(found, found.count(), 200_000), heads.doc_id == found.id, "left").select(F.col("doc_id").alias("id"), F.coalesce("comp", "doc_id").alias("comp"), "n", "prefix", "classes")
-    second = linked(docs, cross_pairs(grouped, scratch), scratch, "cross")
-    final = scratch.write(components(first.union(second), scratch, "final"), "components")
-
-    out = base.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-    out = out.join(final, out.class_id == final.id, "left")
+    small = broadcast_if_small(others, others.count(), 200_000)
+    heads = base.where("n > 0 and doc_id is not null").join(small, ["doc_id", *same], "left_anti").select(F.col("doc_id").alias("id"), "n", "prefix")
+
+    # A doc_id of several texts joins their classes.
+    twice = others.join(others.groupBy("doc_id").agg(F.min("class_id").alias("first")), "doc_id")
+    twice = twice.where("class_id != first").select(F.col("first").alias("a"), F.col("class_id").alias("b"))
+    own = others.join(heads.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    links = scratch.write(twice.unionByName(own).distinct(), "same_ids")
+
+    seqs = sequences(heads, common, scratch)
+    links, comps = settle(docs, branch_candidates(seqs, block), links, scratch, "near")
+    hot = hot_candidates(seqs, comps, scratch, block, cell)
+    if hot is not None:
+        links, comps = settle(docs, hot, links, scratch, "hot")
+
+    out = base.select("doc_id", *same).join(classes, same, "left")
+    out = out.join(comps, out.class_id == comps.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("comp", "class_id", "doc_id").alias("component_id"))
 
 

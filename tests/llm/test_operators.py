@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,16 +144,39 @@ def test_risk_never_goes_far_below_zero():
 # ---------------------------------------------------------------- Jaccard join
 
 
-def test_trie_probe_equals_pairwise_comparison():
-    rng = np.random.default_rng(4)
-    pool = np.sort(rng.choice(1 << 62, 60, replace=False).astype(np.uint64))
-    sets = [np.sort(rng.choice(pool, int(rng.integers(1, 50)), replace=False)) for _ in range(80)]
-    sets += [sets[0], sets[0][:-1], sets[1][1:]]
-    trie = jaccard_join.build_trie(sets)
-    for probe in sets[::5]:
-        want = {(i, len(np.intersect1d(s, probe))) for i, s in enumerate(sets)}
-        want = {(i, o) for i, o in want if 100 * o >= 75 * (len(sets[i]) + len(probe) - o)}
-        assert set(jaccard_join.probe_trie(trie, probe)) == want
+def random_sequences(rng, n_sets, pool_size):
+    """Sets over a small pool, in one order, as rows of `sequences`; every element counts as shared."""
+    pool = np.unique(rng.integers(1, 1 << 63, pool_size, dtype=np.uint64))
+    sets = [rng.choice(pool, int(rng.integers(3, len(pool))), replace=False) for _ in range(n_sets)]
+    sets += [np.append(s[1:], rng.choice(pool, 1)) for s in sets[: n_sets // 2]]
+    sets = [np.unique(s) for s in sets]
+    held = Counter(h for s in sets for h in s[: jaccard_join.prefix_length(len(s), jaccard_join.KEEP)])
+    parts = [[h for h in s[: jaccard_join.prefix_length(len(s), jaccard_join.KEEP)] if held[h] > 1] for s in sets]
+    lists = lambda f: pa.array([[f(s, h) for h in p] for s, p in zip(sets, parts)], pa.list_(pa.int64()))
+    columns = [pa.array(range(len(sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(lambda s, h: int(h) >> 37), lists(lambda s, h: int(h)), lists(lambda s, h: int(np.searchsorted(s, h))), lists(lambda s, h: held[h])]
+    return sets, pa.RecordBatch.from_arrays(columns, ["id", "n", "order", "h", "at", "m"])
+
+
+def test_one_trie_serves_many_probes_and_loses_no_pair():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sets, batch = random_sequences(rng, 40, int(rng.integers(6, 60)))
+        f = jaccard_join.Flat(batch)
+        i = np.flatnonzero(f.at < jaccard_join.prefix_length(f.n)[f.owner])
+        i = i[np.argsort(f.h[i], kind="stable")]
+        n, at, tail, whole, code = f.stand(i)
+        stands = jaccard_join.Stands(n.to_numpy(), at.to_numpy(), tail.to_numpy(), whole.to_numpy(zero_copy_only=False), code.to_pylist())
+        cell, every = np.unique(f.h[i], return_inverse=True)[1], np.ones(len(i), bool)
+        tries = jaccard_join.Tries(stands, cell, every)
+        assert len(tries.cells) < len(i) / 2 and len(tries.begin[1]) < len(i)  # sets share tries, and beginnings in them
+        y, x = jaccard_join.walk(stands, cell, every, every, np.ones(len(i), np.int64), at_once=500)
+        got = set(zip(f.owner[i][y].tolist(), f.owner[i][x].tolist()))
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                o = len(np.intersect1d(sets[a], sets[b]))
+                if a != b and 100 * o >= 75 * (len(sets[a]) + len(sets[b]) - o):
+                    assert (a, b) in got
+        assert len(got) < len(sets) ** 2  # remaining lengths prune
 
 
 def test_groups_equal_brute_force(spark):
@@ -176,14 +200,43 @@ def test_groups_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
-def test_cross_pairs_in_blocks_lose_none(spark):
-    rows = [(i, " ".join(data.prose(40, 5).split()[:36] + [f"x{i}a", f"x{i}b", f"x{i}c"])) for i in range(40)]
-    d = data.docs(spark, rows).select("doc_id", "text")
-    base = jaccard_join.sketches(d, (np.zeros(0, np.uint64), np.zeros(0, np.int8)))
-    heads = base.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), "n", "classes", "prefix")
-    for block in (7, 1000):
-        pairs = jaccard_join.cross_pairs(heads, Scratch(spark, "t"), block).collect()
-        assert {(r["a"], r["b"]) for r in pairs} == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+def test_hot_branches_split_by_element_and_by_block_lose_none(spark):
+    """Many sets below the same few elements, with blocks and cells so small that every way of splitting is taken."""
+    rng = random.Random(31)
+    base = data.prose(60, 5).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w[: rng.randrange(30, 60)])))
+    want = data.groups(rows)
+    for block, cell in ((2, 3), (4, 1000), (64, 1024)):
+        out = jaccard_join.link_groups(data.docs(spark, rows), block=block, cell=cell).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
+def test_hot_branches_alone_bring_up_every_pair_between_components(spark):
+    rng = np.random.default_rng(8)
+    sets, batch = random_sequences(rng, 60, 30)
+    seqs = spark.createDataFrame(pa.Table.from_batches([batch])).repartition(3)
+    comps = spark.createDataFrame([(i, 0) for i in range(0, 30)], "id long, comp long")
+    of = lambda i: 0 if i < 30 else i
+    for cell in (2, 7, 1000):
+        got = {(r["a"], r["b"]) for r in jaccard_join.hot_candidates(seqs, comps, Scratch(spark, "t"), 0, cell).collect()}
+        assert all(of(a) != of(b) for a, b in got)
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                o = len(np.intersect1d(sets[a], sets[b]))
+                if of(a) != of(b) and 100 * o >= 75 * (len(sets[a]) + len(sets[b]) - o) and not np.array_equal(sets[a], sets[b]):
+                    assert (a, b) in got
+
+
+def test_one_doc_id_with_several_texts_is_one_node(spark):
+    x, y, z = (data.prose(40, 4000 + k) for k in range(3))
+    rows = [(1, x), (2, y), (9, x), (9, y), (5, z), (5, z), (7, z + " more"), (None, x), (None, z)]
+    out = {(r["doc_id"], r["component_id"]) for r in jaccard_join.link_groups(data.docs(spark, rows)).collect()}
+    assert {(i, c) for i, c in out if i is not None} == {(1, 1), (2, 1), (9, 1), (5, 5), (7, 5)}
 
 
 def test_components_of_a_long_chain(spark):
