@@ -511,19 +511,25 @@ def hot_candidates(seqs: DataFrame, comps: DataFrame, scratch: Scratch, block: i
 # ---------------------------------------------------------------- whole sets
 
 
-def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, chunk: int = 64) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block: int = 64) -> DataFrame:
     """The pairs (a, b) of documents that link, by their whole sets.
 
-    The sets of up to `chunk` partners b follow that of their a in one stream, sorted by place.
+    Documents go to blocks by their smallest partner, up to about `block` in each, and pairs to pairs
+    of blocks, so that a set is sent once for all its pairs there, however many a dense cluster has.
     """
     pairs = scratch.write(pairs, f"{name}_pairs")
-    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    dealt = scratch.write(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), f"{name}_dealt")
-    place = lambda other: F.struct("a", "part", F.lit(other).alias("other"))
-    places = dealt.select(F.col("b").alias("id"), place(True).alias("place")).unionByName(dealt.select("a", "part").distinct().select(F.col("a").alias("id"), place(False).alias("place")))
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    labels = ends.groupBy("x").agg(F.least("x", F.min("y")).alias("label"))
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    keys = scratch.write(labels.join(sizes, "label").select("x", F.xxhash64("label", F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("key")), f"{name}_keys")
+    of = lambda c: keys.select(F.col("x").alias(c), F.col("key").alias(f"of_{c}"))
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.xxhash64(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).alias("place"))
+    dealt = scratch.write(dealt, f"{name}_dealt")
+    places = dealt.select(F.col("a").alias("id"), "place").unionByName(dealt.select(F.col("b").alias("id"), "place")).distinct()
     # A document with many places stands in several rows, so that no row grows without bound.
-    places = places.groupBy("id", F.pmod(F.xxhash64("place"), F.lit(1 << 20)).alias("spot"), "place").count().select("id", (F.col("spot") % 16).alias("spot"), "place")
-    wanted = scratch.write(places.groupBy("id", "spot").agg(F.collect_list("place").alias("places")).select("id", "places"), f"{name}_wanted")
+    counted = places.groupBy("id").agg(F.ceil(F.count("*") / block).alias("rows"))
+    wanted = places.join(counted, "id").groupBy("id", F.pmod("place", F.col("rows")).alias("row")).agg(F.collect_list("place").alias("places"))
+    wanted = scratch.write(wanted.select("id", "places"), f"{name}_wanted")
     some = docs.join(broadcast_if_small(wanted, wanted.count(), 100_000), docs.doc_id == wanted.id).select("doc_id", "text", "places")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,46 +541,66 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, chunk
                 work = np.cumsum(np.array([8 * len(s) for s in sets], np.int64)[owner]) // (8 << 20)
                 raw = pa.array([s.tobytes() for s in sets], pa.binary())
                 for k in np.unique(work):  # some 8 MB of sets at once
-                    at = np.flatnonzero(work == k)
-                    here, o = flat.take(pa.array(at)), pa.array(owner[at])
-                    yield pa.RecordBatch.from_arrays([here.field("a"), here.field("part"), here.field("other"), part.column(0).take(o), raw.take(o)], ["a", "part", "other", "id", "elements"])
+                    at = pa.array(np.flatnonzero(work == k))
+                    o = pa.array(owner).take(at)
+                    yield pa.RecordBatch.from_arrays([flat.take(at), part.column(0).take(o), raw.take(o)], ["place", "id", "elements"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, first = None, []
+        """First the sets of a place, then its pairs; the place in hand goes on from batch to batch."""
+        place, held = None, {}
         for batch in batches:
-            a, part, other, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             found = []
-            for r, raw in enumerate(batch.column(4)):
-                if place != (a[r], part[r]):
-                    place, first = (a[r], part[r]), []
-                s = np.frombuffer(raw.as_py(), np.uint64)
-                if not other[r]:
-                    first.append(s)
-                    continue
-                for t in first:
-                    least = needed(len(s), len(t))
-                    if min(len(s), len(t)) >= least:
-                        at = np.searchsorted(t, s)
-                        at[at == len(t)] = 0
-                        if np.count_nonzero(t[at] == s) >= least:
-                            found.append((a[r], ids[r]))
-                            break
+            places, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            for r, raw in enumerate(batch.column(3)):
+                if places[r] != place:
+                    place, held = places[r], {}
+                if raw.is_valid:
+                    held.setdefault(int(a[r]), []).append(np.frombuffer(raw.as_py(), np.uint64))
+                elif any(links(s, t) for s in held[int(a[r])] for t in held[int(b[r])]):
+                    found.append((a[r], b[r]))
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    sets = some.mapInArrow(make, "a long, part long, other boolean, id long, elements binary")
-    out = sets.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(compare, "a long, b long")
+    none = F.lit(0).cast("long").alias("b")
+    sets = some.mapInArrow(make, "place long, id long, elements binary").select("place", F.col("id").alias("a"), none, "elements")
+    rows = sets.unionByName(dealt.select("place", "a", "b", F.lit(None).cast("binary").alias("elements")))
+    out = rows.repartition("place").sortWithinPartitions("place", F.col("elements").isNull()).mapInArrow(compare, "a long, b long")
     out = scratch.write(out, f"{name}_links")
-    for done in ("pairs", "dealt", "wanted"):
+    for done in ("pairs", "keys", "dealt", "wanted"):
         scratch.drop(f"{name}_{done}")
     return out
 
 
+def links(s: np.ndarray, t: np.ndarray) -> bool:
+    least = needed(len(s), len(t))
+    if not 0 < least <= min(len(s), len(t)):
+        return False
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    return np.count_nonzero(t[at] == s) >= least
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """id, comp (smallest id reachable) for every id of the links, by large and small star steps."""
-    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}_star0")
+    """id, comp (smallest id reachable) for every id of the links.
+
+    Ends of a single link wait for the other end's component; the rest takes large and small star steps.
+    """
+    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}_edges")
+    busy = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).groupBy("u").count().where("count > 1").select("u")
+    core = edges.join(busy, "u", "left_semi")
+    leaves = edges.join(busy, "u", "left_anti").select(F.col("u").alias("id"), "v")
+    found = scratch.write(_stars(core, scratch, name), f"{name}_core")
+    top = found.withColumnRenamed("id", "v")
+    hung = leaves.join(broadcast_if_small(top, top.count(), 500_000), "v", "left").select("id", F.coalesce("comp", "v").alias("comp"))
+    roots = leaves.select(F.col("v").alias("id")).distinct().join(found, "id", "left_anti").withColumn("comp", F.col("id"))
+    return found.unionByName(hung).unionByName(roots)
+
+
+def _stars(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id, comp of the nodes of edges (u, v), u > v, by alternating star steps."""
+    edges = scratch.write(edges, f"{name}_star0")
     step, before = 0, None
-    while True:
+    while before is not None or edges.head(1):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -589,24 +615,42 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if state == before:
             break
         before = state
-    return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
-
-
-def settle(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(links, components) after the candidates: first each set's smallest partner, then those between components."""
-    both = lambda new: new if links is None else links.unionByName(new)
-    pairs = scratch.write(pairs, f"{name}_candidates")
-    links = both(linked(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), scratch, f"{name}_first"))
-    comps = components(links, scratch, f"{name}_first")
-    comps = scratch.write(comps, f"{name}_first_components")
+    # Every edge now leads to the least node of its component, which has none of its own.
+    ends = edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
+    return ends.unionByName(ends.select(F.col("comp").alias("id"), "comp").distinct())
+
+
+def merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components (id, comp) after more links: only components that these connect are looked at."""
+    if comps is None:
+        return scratch.write(components(links, scratch, name), f"{name}_components")
+    if not links.head(1):
+        return comps
+    new = components(_between(links, comps).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch, name)
+    new = scratch.write(new.withColumnRenamed("comp", "now"), f"{name}_now")
+    small = broadcast_if_small(new, new.count(), 500_000)
+    known = comps.join(small.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("now", "comp").alias("comp"))
+    alone = small.join(comps.select("id"), "id", "left_anti").select("id", F.col("now").alias("comp"))
+    return scratch.write(known.unionByName(alone), f"{name}_components")
+
+
+def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are of different components, with these (of_a, of_b)."""
     small = broadcast_if_small(comps, comps.count(), 500_000)
     for c in ("a", "b"):
         pairs = pairs.join(small.select(F.col("id").alias(c), F.col("comp").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    rest = scratch.write(pairs.where("of_a != of_b").select("a", "b"), f"{name}_rest")
-    if rest.count():
-        links = both(linked(docs, rest, scratch, f"{name}_others"))
-        comps = scratch.write(components(links, scratch, f"{name}_all"), f"{name}_components")
-    return links, comps
+    return pairs.where("of_a != of_b")
+
+
+def settle(docs: DataFrame, pairs: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components after the candidates: first each set's smallest partner, then those between components."""
+    pairs = scratch.write(pairs, f"{name}_candidates")
+    first = _between(pairs, comps).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    comps = merged(comps, linked(docs, first, scratch, f"{name}_first"), scratch, f"{name}_first")
+    rest = scratch.write(_between(pairs, comps).select("a", "b"), f"{name}_rest")
+    if rest.head(1):
+        comps = merged(comps, linked(docs, rest, scratch, f"{name}_others"), scratch, f"{name}_others")
+    return comps
 
 
 def link_groups(docs: DataFrame, most_listed: int = 1 << 21, block: int = BLOCK, cell: int = 1024) -> DataFrame:
@@ -632,13 +676,13 @@ def link_groups(docs: DataFrame, most_listed: int = 1 << 21, block: int = BLOCK,
     twice = others.join(others.groupBy("doc_id").agg(F.min("class_id").alias("first")), "doc_id")
     twice = twice.where("class_id != first").select(F.col("first").alias("a"), F.col("class_id").alias("b"))
     own = others.join(heads.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    links = scratch.write(twice.unionByName(own).distinct(), "same_ids")
+    comps = merged(None, twice.unionByName(own).distinct(), scratch, "same_ids")
 
     seqs = sequences(heads, common, scratch)
-    links, comps = settle(docs, branch_candidates(seqs, block), links, scratch, "near")
+    comps = settle(docs, branch_candidates(seqs, block), comps, scratch, "near")
     hot = hot_candidates(seqs, comps, scratch, block, cell)
     if hot is not None:
-        links, comps = settle(docs, hot, links, scratch, "hot")
+        comps = settle(docs, hot, comps, scratch, "hot")
 
     out = base.select("doc_id", *same).join(classes, same, "left")
     out = out.join(comps, out.class_id == comps.id, "left")
