@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlake.sources.scratch import shared_root
+
 # ---------------------------------------------------------------- tables
 
 
@@ -16,16 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a local one."""
-    conf = spark.sparkContext.getConf()
-    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="kvlake-scratch-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch than Spark's default, as documents are long; an own setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,7 +30,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         small_batches(spark)
-        self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -52,9 +43,28 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes up to which a table is broadcast.
+MOST_BYTES = 32 << 20
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint for a table whose counted rows stay below the limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+    """Broadcast hint for a table of fixed width whose counted rows stay below the limit; beyond it Spark shuffles."""
+    if not all(f.dataType.simpleString() in _FIXED for f in df.schema.fields):
+        raise ValueError("the size of columns without a fixed width has to be measured: measured_side")
+    return F.broadcast(df) if rows <= limit and rows * 8 * len(df.columns) <= MOST_BYTES else df
+
+
+_FIXED = ("bigint", "int", "double", "boolean")
+
+
+def measured_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Broadcast hint for a table whose rows and bytes, strings and arrays of integers included, are measured to be few."""
+    sizes = [F.octet_length(f.name) if f.dataType.simpleString() == "string" else F.lit(8) if f.dataType.simpleString() in _FIXED else 8 * F.size(f.name) for f in df.schema.fields]
+    total = F.lit(0).cast("long")
+    for s in sizes:
+        total = total + F.greatest(F.coalesce(s, F.lit(0)), F.lit(8))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= MOST_BYTES else df
 
 
 _MADE: dict = {}

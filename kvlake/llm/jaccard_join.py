@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, broadcast_if_small, mix64, read_table, small_slices, text_buffer
+from .common import Scratch, Words, broadcast_if_small, measured_side, mix64, read_table, small_slices, text_buffer
 
 SIZE = 5
 KEEP = 8
@@ -477,7 +477,8 @@ def hot_candidates(seqs: DataFrame, comps: DataFrame, scratch: Scratch, block: i
     for more in done[1:]:
         placed = placed.unionByName(more)
     own = ["path", "i", "comp", "top", "all", "probes", "level"]
-    per = placed.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("where"))
+    per = scratch.write(placed.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("where")), "hot_places")
+    some = seqs.join(broadcast_if_small(per.select("id"), per.count(), 1_000_000), "id", "left_semi")
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,7 +492,7 @@ def hot_candidates(seqs: DataFrame, comps: DataFrame, scratch: Scratch, block: i
                 yield pa.RecordBatch.from_arrays([*[part.field(c) for c in own if c != "i"], pa.array(f.id[row]), pa.array(before), *f.stand(i)], [*[c for c in own if c != "i"], "id", "before", *_STANDS])
 
     ddl = ", ".join(f"{c} long" for c in own if c != "i") + f", id long, before long, {_STANDS_DDL}"
-    stands = seqs.join(per, "id").mapInArrow(stand, ddl)
+    stands = some.join(per, "id").mapInArrow(stand, ddl)
     left, right = F.ceil(F.col("all") / cell), F.ceil(F.col("probes") / cell)
     i, j = F.pmod(F.xxhash64("id"), left), F.pmod(F.xxhash64("id", F.lit(1)), right)
     each = lambda n, salt: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), salt)).alias("salt")
@@ -511,15 +512,16 @@ def hot_candidates(seqs: DataFrame, comps: DataFrame, scratch: Scratch, block: i
 # ---------------------------------------------------------------- whole sets
 
 
-def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block: int = 64) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block: int = 256) -> DataFrame:
     """The pairs (a, b) of documents that link, by their whole sets.
 
-    Documents go to blocks by their smallest partner, up to about `block` in each, and pairs to pairs
-    of blocks, so that a set is sent once for all its pairs there, however many a dense cluster has.
+    Documents go to blocks by the smallest id within two steps of partners, up to about `block` in each,
+    and pairs to pairs of blocks, so that a set is sent once for all its pairs there, however many.
     """
     pairs = scratch.write(pairs, f"{name}_pairs")
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    labels = ends.groupBy("x").agg(F.least("x", F.min("y")).alias("label"))
+    near = scratch.write(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("near")), f"{name}_near")
+    labels = ends.join(near.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("near").alias("far")).join(near, "x").select("x", F.least("near", "far").alias("label"))
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
     keys = scratch.write(labels.join(sizes, "label").select("x", F.xxhash64("label", F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("key")), f"{name}_keys")
     of = lambda c: keys.select(F.col("x").alias(c), F.col("key").alias(f"of_{c}"))
@@ -530,7 +532,7 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block
     counted = places.groupBy("id").agg(F.ceil(F.count("*") / block).alias("rows"))
     wanted = places.join(counted, "id").groupBy("id", F.pmod("place", F.col("rows")).alias("row")).agg(F.collect_list("place").alias("places"))
     wanted = scratch.write(wanted.select("id", "places"), f"{name}_wanted")
-    some = docs.join(broadcast_if_small(wanted, wanted.count(), 100_000), docs.doc_id == wanted.id).select("doc_id", "text", "places")
+    some = docs.join(measured_side(wanted), docs.doc_id == wanted.id).select("doc_id", "text", "places")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -566,7 +568,7 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block
     rows = sets.unionByName(dealt.select("place", "a", "b", F.lit(None).cast("binary").alias("elements")))
     out = rows.repartition("place").sortWithinPartitions("place", F.col("elements").isNull()).mapInArrow(compare, "a long, b long")
     out = scratch.write(out, f"{name}_links")
-    for done in ("pairs", "keys", "dealt", "wanted"):
+    for done in ("pairs", "near", "keys", "dealt", "wanted"):
         scratch.drop(f"{name}_{done}")
     return out
 
