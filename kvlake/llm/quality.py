@@ -1,14 +1,18 @@
 """Quality rules, and cross-document line frequency within hosts.
 
 Base rules look at one document. The method hashes each line (its words, A-Z lower-cased, digits
-as 0), counts per host the distinct texts that hold it, and calls a line frequent when these are at
-least `least_docs` and over `share` of the host's distinct texts. Copies of a text count once, so
-that a group of copies doesn't make its own lines frequent. Frequent lines are removed; a document
-is rejected when it fails the base rules, when fewer than `least_words` words are left, or when over
-`most_removed` of its words went.
+as 0) and counts per host the distinct texts that hold it; copies of a text count once. A line is
+frequent when it reaches the limit of its length (LIMITS: long lines recur by chance less than short
+ones; limits don't rise with the host). Only texts with something of their own vote: a text that
+would lose over `most_to_vote` of its words if all such lines went doesn't count, so that a group of
+near copies, however large, doesn't make its own lines frequent and stays for the join to settle. Frequent lines are
+removed; a document is rejected when it fails the base rules, when fewer than `least_words` words are
+left, or when over `most_removed` of its words went.
 
 Null and empty texts have no words and are rejected. A null host is a host of its own. Repeated rows
-are judged once each. An empty table gives an empty result.
+are judged once each. Texts and lines are read whole, of any length; lines that tie at a limit are
+frequent. Columns besides doc_id, text and the host's are not read, those of the result may clash
+with them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Scratch, Words, broadcast_if_small, mix64, read_table, small_slices, text_buffer
+from .common import _LOWER, Scratch, Words, measured_side, mix64, read_table, small_slices, text_buffer
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -93,20 +97,24 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict:
             covered = np.cumsum(edge[:-1]) > 0
             repeat = np.bincount(w.doc[covered], minlength=n).astype(np.int64)
     out["n_repeat_words"] = repeat
-    lines, sizes = [[] for _ in range(n)], [[] for _ in range(n)]
+    lines, sizes, widths = ([[] for _ in range(n)] for _ in range(3))
     if len(start):
         normal = Words(_DIGIT[data], offsets, lower=True)
         h, count = line_hashes(normal, start, end, word)
         bounds = np.searchsorted(owner, np.arange(n + 1))
         for d in np.flatnonzero(bounds[1:] > bounds[:-1]):
             a, b = bounds[d], bounds[d + 1]
-            values, inverse = np.unique(h[a:b], return_inverse=True)
+            values, first, inverse = np.unique(h[a:b], return_index=True, return_inverse=True)
             lines[d] = values.view(np.int64)
             sizes[d] = np.bincount(inverse, count[a:b]).astype(np.int64)
-    out["lines"], out["line_words"] = lines, sizes
+            widths[d] = count[a:b][first]
+    out["lines"], out["line_words"], out["line_widths"] = lines, sizes, widths
     return out
 
 
+#: (words of a line, distinct texts of a host that make a line of so many words or more frequent), longest first.
+LIMITS = ((25, 10), (8, 25), (1, 100))
+_LISTS = ["lines", "line_words", "line_widths"]
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -114,28 +122,42 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in small_slices(batch):
             m = measure(*text_buffer(part.column(2)))
-            arrays = [part.column(0), part.column(1), part.column(3)] + [pa.array(m[c], pa.int64()) for c in _COUNTS] + [pa.array(m[c], pa.list_(pa.int64())) for c in ("lines", "line_words")]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "host", "text_hash", *_COUNTS, "lines", "line_words"])
+            arrays = [part.column(0), part.column(1), part.column(3)] + [pa.array(m[c], pa.int64()) for c in _COUNTS] + [pa.array(m[c], pa.list_(pa.int64())) for c in _LISTS]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "host", "text_hash", *_COUNTS, *_LISTS])
 
 
-def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", least_docs: int = 50, share: float = 0.1, least_words: int = 5, most_removed: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", limits=LIMITS, least_words: int = 5, most_removed: float = 0.75, most_to_vote: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, the base figures, base_failed, kept, frequent (hashes of lines that go)."""
     text = F.col("text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text, F.xxhash64(text).alias("text_hash"))
-    ddl = "doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<long>, line_words array<long>"
+    ddl = "doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} array<long>" for c in _LISTS)
     m = scratch.write(slim.mapInArrow(_measured, ddl).withColumn("row", F.monotonically_increasing_id()), "measured")
-    per_host = m.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    lines = m.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
-    held = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    frequent = scratch.write(held.join(per_host, "host").where(F.col("n") > share * F.col("texts")).select("host", "line"), "frequent")
-    rows = frequent.count()
-    each = m.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    gone = each.join(broadcast_if_small(frequent, rows), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("frequent"))
+
+    limit = F.lit(None).cast("int")
+    for width, texts in sorted(limits):
+        limit = F.when(F.col("width") >= width, texts).otherwise(limit)
+
+    def reaching(lines: DataFrame) -> DataFrame:
+        """The lines (host, line) among rows (host, text_hash, line, width) that reach their limit."""
+        held = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n"), F.max("width").alias("width"))
+        return held.where(F.col("n") >= limit).select("host", "line")
+
+    def left(removed, most: float):
+        """Whether enough of a document is left without so many words."""
+        return (F.col("n_words") - removed >= least_words) & (removed <= most * F.col("n_words"))
+
+    each = m.select("row", "host", "text_hash", "n_words", F.inline(F.arrays_zip(*_LISTS))).toDF("row", "host", "text_hash", "n_words", "line", "words", "width")
+    often = scratch.write(reaching(each.select("host", "text_hash", "line", "width")), "often")
+    touched = each.join(measured_side(often), ["host", "line"]).groupBy("row", "host", "text_hash", "n_words").agg(F.sum("words").alias("gone"), F.collect_list(F.struct("line", "words", "width")).alias("held"))
+    touched = scratch.write(touched, "touched")
+    voting = touched.where(left(F.col("gone"), most_to_vote)).select("host", "text_hash", F.inline("held")).select("host", "text_hash", "line", "width")
+    frequent = scratch.write(reaching(voting), "frequent")
+    gone = touched.select("row", "host", F.inline("held")).join(measured_side(frequent), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("frequent"))
+
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     removed = F.coalesce("removed_words", F.lit(0))
-    good = (F.col("n_words") - removed >= least_words) & (removed <= most_removed * F.col("n_words"))
     out = m.join(gone, "row", "left").withColumn("base_failed", base)
-    return out.select("doc_id", "text_hash", *_COUNTS, "base_failed", (~F.col("base_failed") & good).alias("kept"), removed.cast("long").alias("n_removed_words"), "frequent")
+    return out.select("doc_id", "text_hash", *_COUNTS, "base_failed", (~F.col("base_failed") & left(removed, most_removed)).alias("kept"), removed.cast("long").alias("n_removed_words"), "frequent")
 
 
 def without_lines(data: bytes, hashes: set) -> bytes:
@@ -158,7 +180,7 @@ def filter_documents(docs: DataFrame, **limits) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality")
     judged = judge(docs, scratch, **limits)
     changes = scratch.write(judged.where("not kept or frequent is not null").select("doc_id", "text_hash", "kept", "frequent").dropDuplicates(["doc_id", "text_hash"]), "changes")
-    small = broadcast_if_small(changes.select(F.col("doc_id").alias("__kv_doc"), F.col("text_hash").alias("__kv_hash"), F.col("kept").alias("__kv_kept"), F.col("frequent").alias("__kv_lines")), changes.count(), 100_000)
+    small = measured_side(changes.select(F.col("doc_id").alias("__kv_doc"), F.col("text_hash").alias("__kv_hash"), F.col("kept").alias("__kv_kept"), F.col("frequent").alias("__kv_lines")))
     joined = docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("__kv_doc")) & F.xxhash64("text").eqNullSafe(F.col("__kv_hash")), "left").where("__kv_kept is null or __kv_kept").drop("__kv_doc", "__kv_hash", "__kv_kept")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,19 +30,23 @@ r(id, other) as (select doc_id, doc_id from w union select r.id, e.b from r join
 select id as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id from r left join n on n.doc_id = id group by id
 """
 
+#: Distinct texts that make a line of n words frequent.
+_LIMIT = "case when max(n) >= 25 then 10 when max(n) >= 8 then 25 else 100 end"
+
 _OP9 = f"""
-with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as host from documents),
+with d as (select doc_id, coalesce(text, '') as t, md5(coalesce(text, '')) as th, coalesce(source, '') as host from documents),
 w as (select doc_id, host, t, {_WORDS.format("t")} as ws from d),
-lines as (select doc_id, host, unnest(string_split(t, chr(10))) as raw from d),
-l as (select doc_id, host, raw, {_WORDS.format("regexp_replace(" + _LOWER.format("raw") + ", '[0-9]', '0', 'g')")} as ws from lines where regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
-k as (select doc_id, host, array_to_string(ws, ' ') as line, len(ws) as n from l),
+lines as (select doc_id, host, th, unnest(string_split(t, chr(10))) as raw from d),
+l as (select doc_id, host, th, raw, {_WORDS.format("regexp_replace(" + _LOWER.format("raw") + ", '[0-9]', '0', 'g')")} as ws from lines where regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
+k as (select doc_id, host, th, array_to_string(ws, ' ') as line, len(ws) as n from l),
 dup as (select doc_id, count(*) - count(distinct raw) as n_dup_lines from l group by doc_id),
 win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as x from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
 twice as (select doc_id, i from win qualify count(*) over (partition by doc_id, x) > 1),
 rep as (select doc_id, count(distinct i + o) as n_repeat_words from twice, range(8) r(o) group by doc_id),
-per as (select host, count(*) as docs from d group by host),
-held as (select host, line, count(distinct doc_id) as n from k group by 1, 2),
-freq as (select held.host, line from held join per on per.host = held.host where n >= 50 and n > 0.1 * docs),
+often as (select host, line from k group by 1, 2 having count(distinct th) >= {_LIMIT}),
+touched as (select k.doc_id, sum(n) as gone from k join often on often.host = k.host and often.line = k.line group by k.doc_id),
+voting as (select w.doc_id from touched join w on w.doc_id = touched.doc_id where len(ws) - gone >= 5 and gone <= 0.5 * len(ws)),
+freq as (select k.host, k.line from k join often on often.host = k.host and often.line = k.line join voting on voting.doc_id = k.doc_id group by 1, 2 having count(distinct th) >= {_LIMIT}),
 gone as (select doc_id, sum(n) as n_removed_words from k join freq on freq.host = k.host and freq.line = k.line group by doc_id),
 f as (
   select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
@@ -52,7 +56,7 @@ f as (
 ),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
-  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and n_words - gone >= 5 and gone <= 0.5 * n_words as kept, cast(gone as bigint) as n_removed_words
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and n_words - gone >= 5 and gone <= 0.75 * n_words as kept, cast(gone as bigint) as n_removed_words
 from b
 """
 
