@@ -4,10 +4,15 @@ Each text gets some forty figures on its characters, words and lines. Training t
 positives (label 1), unlabelled texts and the class prior, and minimises the non-negative unbiased
 risk: prior * R+(P) + max(0, R-(U) - prior * R-(P)), with logistic loss, over a small network.
 Training rows are a bounded sample (`most` of each kind, those of least hash) from the documents
-that are not held out; the prior is the share of label 1 among their labelled ones.
-
-Null and empty texts get figures of zero and a score like any other. Repeated rows are scored each.
-Without positives every score is the prior (0.5 without labels). An empty table gives an empty result.
+that are not held out. Rows with label 0 train nothing. The prior is estimated from positives and
+unlabelled texts alone: where a network tells the two apart, the unlabelled share above any score is
+at least the prior times the positives' share there, so the least ratio of the two bounds it.
+
+Null and empty texts get figures of zero and a score like any other; very long ones are read whole.
+Repeated rows are scored each. A doc_id with labels of both kinds is neither positive nor unlabelled;
+rows without doc_id (null) don't train. Without positives or unlabelled texts every score is 0.5.
+Columns besides doc_id and text, and doc_id and quality of the labels, are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,8 +82,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(p: np.ndarray, u: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 3e-3, seed: int = 7) -> Network:
-    """Minimise the non-negative risk; where the bracket is negative, only its gradient is undone."""
+def train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 60, batch: int = 512, rate: float = 3e-3, seed: int = 7) -> Network:
+    """Minimise the non-negative risk; where the bracket is negative, only its gradient is undone.
+
+    Without a prior, tell the two samples apart by plain logistic loss.
+    """
     rng = np.random.default_rng(seed)
     both = np.concatenate([p, u]).astype(float)
     mean, scale = both.mean(0), both.std(0) + 1e-3
@@ -96,9 +104,10 @@ def train(p: np.ndarray, u: np.ndarray, prior: float, hidden: int = 24, epochs:
             logit = hid @ theta[2] + theta[3][0]
             s = sigmoid(logit)
             loss_neg = np.logaddexp(0, logit)  # of calling it positive when it is negative
-            rest = loss_neg[batch:].mean() - prior * loss_neg[:batch].mean()
             g = np.zeros(2 * batch)
-            if rest >= 0:
+            if prior is None:
+                g[:batch], g[batch:] = (s[:batch] - 1) / (2 * batch), s[batch:] / (2 * batch)
+            elif loss_neg[batch:].mean() >= prior * loss_neg[:batch].mean():
                 g[:batch] = prior * (s[:batch] - 1) / batch - prior * s[:batch] / batch
                 g[batch:] = s[batch:] / batch
             else:
@@ -115,6 +124,26 @@ def train(p: np.ndarray, u: np.ndarray, prior: float, hidden: int = 24, epochs:
     return Network(mean, scale, theta[0], theta[1], theta[2], theta[3][0])
 
 
+def estimate_prior(p: np.ndarray, u: np.ndarray, halves: int = 2) -> float:
+    """Share of positives among the unlabelled rows, from scores of networks that saw the other half.
+
+    The least ratio is taken over scores above which at least a tenth of the positives lie, with a
+    standard error on top so that a chance dip of few rows doesn't decide.
+    """
+    out = []
+    for k in range(halves):
+        mine = [np.arange(len(x)) % halves == k for x in (p, u)]
+        if not all(m.any() and not m.all() for m in mine):
+            return 0.5
+        net = train(p[~mine[0]], u[~mine[1]], None, epochs=15)
+        a, b = np.sort(net.score(p[mine[0]])), np.sort(net.score(u[mine[1]]))
+        spots = np.unique(np.quantile(a, np.linspace(0, 0.9, 46)))
+        above = lambda x: 1 - np.searchsorted(x, spots, "left") / len(x)
+        x, y = above(a), above(b)
+        out.append(float(np.min((y + np.sqrt(np.maximum(y * (1 - y), 1 / len(b)) / len(b))) / x)))
+    return float(np.clip(np.mean(out), 0.01, 0.99))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = 12_000, folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     scratch = Scratch(docs.sparkSession, "quality_model")
@@ -129,10 +158,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 12_000, fold
     remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     base = scratch.write(slim.mapInArrow(figures, "doc_id long, x array<float>").withColumn("held_out", remainder == 0), "features")
 
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("least"))
     fit = base.where("not held_out and doc_id is not null").join(marked, "doc_id", "left")
-    counts = fit.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality").isNotNull()), F.count("*")).first()
-    prior = counts[0] / counts[1] if counts[1] else 0.5
+    counts = fit.agg(F.count_if(F.col("least") == 1), F.count_if(F.col("least").isNull())).first()
 
     def few(rows: DataFrame, total: int) -> np.ndarray:
         """At most `most` rows. A share of the hashes is taken first, so that tasks send no more than that."""
@@ -140,13 +168,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 12_000, fold
         some = rows.where(F.pmod(spot, F.lit(1 << 40)) < int(min(1.0, 1.2 * most / max(1, total)) * (1 << 40)))
         return np.array([r[0] for r in some.orderBy(spot).limit(most).select("x").collect()], np.float32).reshape(-1, N_FEATURES)
 
-    p, u = few(fit.where("quality = 1"), counts[0]), few(fit.where("quality is null"), counts[2] - counts[1])
-    network = train(p, u, min(prior, 0.99)) if len(p) and len(u) else None
+    p, u = few(fit.where("least = 1"), counts[0]), few(fit.where("least is null"), counts[1])
+    network = train(p, u, estimate_prior(p, u)) if len(p) and len(u) else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-            s = network.score(x) if network else np.full(batch.num_rows, float(prior))
+            s = network.score(x) if network else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64())], ["doc_id", "held_out", "score"])
 
     scored = base.select("doc_id", "x", "held_out").mapInArrow(score, "doc_id long, held_out boolean, score double")
