@@ -4,11 +4,16 @@ A rule fits its host and all subdomains when the path starts with the rule's pat
 fitting rule decides. For other urls the host decides. Hosts whose pages are mostly allowed by rules
 are trusted seeds, those mostly blocked are blocked seeds. Trust is a personalised PageRank from
 the trusted seeds along links; distrust is one from the blocked seeds against the links (who links
-to a blocked host earns distrust). A host is blocked where its distrust share exceeds `threshold`.
-Both run until a round moves less than `tolerance` and reaches no new host, however far that is.
+to a blocked host earns distrust). Every seed gives out the same mass, 1, whatever their number, so
+that seeds elsewhere in the graph change nothing at a host they don't reach. A host is blocked where
+its distrust share exceeds `threshold`. Both run until a round moves less than `tolerance` of all
+mass and reaches no new host, however far that is.
 
 Null urls and urls without `://` have an empty host and path, and no links count for them. Null html
-has no links. Repeated pages count once each. An empty table gives an empty result.
+has no links. A link's host is read as a page's: a port or user name is part of it. Repeated pages
+count once each; pages are read whole, of any length. A host with as many pages allowed as blocked is
+no seed; a share equal to the threshold is allowed. Columns besides page_id, url and html are not
+read, those of the result may clash with them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, read_table
+from .common import Scratch, measured_side, read_table
 
 # The rules of the contract.
 RULES = [
@@ -29,7 +34,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>:]+)"""
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
 def _lower(c):
@@ -55,14 +60,15 @@ def fitting_rule(host, path, rules) -> tuple:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, share of src's links), seeds (host, seed mass of sum 1).
+    """Personalised PageRank: edges (src, dst, share of src's links), seeds (host, seed mass).
 
-    A round moves at most 2 * damping^round, so rounds need no limit of their own (None): past that
-    bound only those follow that still reach new hosts. Fails when the tolerance isn't met.
+    A round moves at most 2 * damping^round of all mass, so rounds need no limit of their own (None):
+    past that bound only those follow that still reach new hosts. Fails when the tolerance isn't met.
     """
+    enough = math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
+    tolerance *= seeds.agg(F.sum("mass")).first()[0] or 1.0
     base = seeds.select("host", ((1 - damping) * F.col("mass")).alias("base"))
     now, step = scratch.write(seeds.select("host", F.col("mass").alias("rank")), f"{name}0"), 0
-    enough = math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
     while True:
         sent = now.join(edges, now.host == edges.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("got"))
         new = sent.join(base, sent.dst == base.host, "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("got", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("rank"))
@@ -99,14 +105,12 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float
     per = scratch.write(per, "hosts")
     ranks = {}
     for name, mine, edges in (("trust", "good", along), ("distrust", "bad", against)):
-        seeds = per.where(2 * F.col(mine) > F.col("pages"))
-        total = seeds.count()
-        seeds = seeds.select("host", F.lit(1.0 / max(1, total)).alias("mass"))
+        seeds = per.where(2 * F.col(mine) > F.col("pages")).select("host", F.lit(1.0).alias("mass"))
         ranks[name] = propagate(scratch.write(edges, f"{name}_edges"), seeds, scratch, name, damping, rounds, tolerance).withColumnRenamed("rank", name)
     hosts = ranks["trust"].join(ranks["distrust"], "host", "full_outer").na.fill(0.0, ["trust", "distrust"])
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     hosts = scratch.write(hosts.withColumn("host_verdict", F.when(share > threshold, "block").otherwise("allow")), "verdicts")
-    joined = slim.drop("to").join(broadcast_if_small(hosts, hosts.count()), "host", "left")
+    joined = slim.drop("to").join(measured_side(hosts), "host", "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
