@@ -1,23 +1,28 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. Those with a license term are classified by a sparse softmax regression over
-distinct word n-grams (one to three words), trained here on template paragraphs, shortened and
-thinned variants of them, general license statements (the unknown class) and plain sentences. The
-temperature is fitted on variants held out of training, and a family below `least` probability is
-unknown. A family is confirmed when enough of the paragraph's n-grams stand in one of its templates;
-what isn't confirmed is unknown as well. Besides the whole line, the stretches of its sentences that
-templates have words in common with are classified, so that a statement isn't lost in a long line; a
-stretch counts only when it is confirmed, holds enough of the template and an n-gram of that family
-alone. Scoring and comparison are joins and sums of Spark SQL
-against two tables whose size the templates fix; only training runs on the driver.
-
-Null and empty texts, and texts without a license term, have license `none`. Repeated rows are each
-judged. An empty table gives an empty result.
+Paragraphs are lines, after lines that a sentence was wrapped over are joined again. Those with a
+license term are classified by a sparse softmax regression over distinct word n-grams (one to three
+words), trained here on template paragraphs, shortened and thinned variants of them, general license
+statements (the unknown class) and plain sentences. Temperature and least probability are calibrated
+on whole families that models trained without them judge: such texts belong to the unknown class, and
+below `least` a family is unknown. A family is confirmed when enough of the paragraph's n-grams stand
+in one of its templates, one of them in no other family's; what isn't confirmed is unknown as well.
+Besides the whole line, the stretches of its sentences that templates have words in common with are
+classified, so that a statement isn't lost in a long line; a stretch counts only when it is confirmed
+and holds enough of the template. Scoring and comparison are joins and sums of Spark SQL against two
+tables whose size the templates fix; only training runs on the driver.
+
+Null and empty texts, and texts without a license term, have license `none`. Of several families the
+one with the greatest probability is the license, ties go to the greater share and name; all are
+listed. Very long texts and lines are read whole. Repeated rows are each judged. Columns besides
+doc_id and text are not read, those of the result may clash with them. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -51,13 +56,46 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "Released under the GNU GPL, version 2 or later.",
+        "Licensed under the GNU General Public License v2.0.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Released under the GNU AGPL, version 3 or later.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Released under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "Artistic-2.0": [
+        "Licensed under the Artistic License 2.0.",
+        "This program is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
@@ -82,6 +120,18 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
     "public-domain": [
         "This work is dedicated to the public domain under CC0 1.0.",
         "This is free and unencumbered software released into the public domain.",
@@ -106,6 +156,11 @@ UNKNOWN = [
     "Copyright by the author.",
     "Provided without warranty under the license of the vendor.",
     "Licensed to subscribers under contract.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "Licensed under the Microsoft Public License.",
+    "Licensed under the European Union Public License, version 1.2.",
+    "Released under the SIL Open Font License.",
+    "Licensed under the terms of the vendor's commercial license, version 3.",
 ]
 PLAIN = [
     "The driver lost his license after the accident.",
@@ -125,6 +180,9 @@ PLAIN = [
     "The work of the foundation is free and open to the public.",
 ]
 
+#: A line end within a sentence: after a small letter or comma, before a letter, bracket or quote.
+WRAPPED = r"(?<=[a-z,])[ \t]*\r?\n[ \t]*(?:[#*]|//)?[ \t]*(?=[A-Za-z(\"'])"
+
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 NONE, OTHER = "none", "unknown"
 #: Words between two known word pairs of one stretch: none, and as many as a name has.
@@ -154,18 +212,23 @@ class Model:
     def __init__(self, classes, vocabulary, weights, bias, temperature):
         self.classes, self.vocabulary, self.weights, self.bias, self.temperature = classes, vocabulary, weights, bias, temperature
 
+    def logits(self, text: str) -> np.ndarray:
+        return self.weights[[self.vocabulary[g] for g in ngrams(text) if g in self.vocabulary]].sum(0) + self.bias
+
     def probabilities(self, text: str) -> np.ndarray:
-        at = [self.vocabulary[g] for g in ngrams(text) if g in self.vocabulary]
-        z = (self.weights[at].sum(0) + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return _soft(self.logits(text)[None] / self.temperature)[0]
 
 
-@lru_cache
-def train(seed: int = 11, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Model:
+def _soft(logit: np.ndarray) -> np.ndarray:
+    e = np.exp(logit - logit.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def fit(families: tuple[str, ...], rounds: int, seed: int = 11, rate: float = 0.5, decay: float = 1e-3):
+    """A model of these families at temperature 1, with logits and classes of variants that trained nothing."""
     rng = np.random.default_rng(seed)
-    classes = [NONE, OTHER, *TEMPLATES]
-    rows = [(v, classes.index(f)) for f, texts in TEMPLATES.items() for t in texts for v in _variants(t, rng, 8)]
+    classes = [NONE, OTHER, *families]
+    rows = [(v, classes.index(f)) for f in families for t in TEMPLATES[f] for v in _variants(t, rng, 8)]
     rows += [(v, 1) for t in UNKNOWN for v in _variants(t, rng, 8)] + [(v, 0) for t in PLAIN for v in _variants(t, rng, 4)]
     held = rng.random(len(rows)) < 0.2
     vocabulary: dict[str, int] = {}
@@ -181,19 +244,57 @@ def train(seed: int = 11, rounds: int = 300, rate: float = 0.5, decay: float = 1
     a, z = x[~held], y[~held]
     weigh = (len(a) / (len(classes) * np.maximum(1, z.sum(0))))[z.argmax(1)][:, None]
     scale = 1 / np.sqrt(a.sum(1, keepdims=True))  # long paragraphs don't drown short ones
-
-    def soft(logit):
-        e = np.exp(logit - logit.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    for k in range(rounds):
-        g = (soft(a @ w + b) - z) * weigh * scale / len(a) * 20
+    for _ in range(rounds):
+        g = (_soft(a @ w + b) - z) * weigh * scale / len(a) * 20
         w -= rate * (a.T @ g + decay * w)
         b -= rate * g.sum(0)
-    logit, truth = x[held] @ w + b, y[held].argmax(1)
-    grid = np.linspace(0.3, 5, 48)
-    loss = [-np.log(soft(logit / t)[np.arange(len(truth)), truth] + 1e-9).mean() for t in grid]
-    return Model(classes, vocabulary, w, b, float(grid[int(np.argmin(loss))]))
+    return Model(classes, vocabulary, w, b, 1.0), x[held] @ w + b, y[held].argmax(1)
+
+
+def sole_grams(families) -> dict[str, set[str]]:
+    """Of each family the n-grams that no other family, unknown statement or plain sentence holds."""
+    grams = {f: set().union(*map(ngrams, TEMPLATES[f])) for f in families}
+    counts = Counter(g for gs in [*grams.values(), set().union(*map(ngrams, UNKNOWN)), set().union(*map(ngrams, PLAIN))] for g in gs)
+    return {f: {g for g in gs if counts[g] == 1} for f, gs in grams.items()}
+
+
+def confirmable(text: str, family: str, sole: dict, overlap: float) -> bool:
+    """Whether comparison with the family's templates would confirm it for a whole line."""
+    own = ngrams(text)
+    return bool(own & sole[family]) and max(len(own & ngrams(t)) for t in TEMPLATES[family]) >= overlap * len(own)
+
+
+@lru_cache
+def calibration(folds: int = 4, rounds: int = 120, overlap: float = 0.5, wrong: float = 0.01) -> tuple[float, float]:
+    """(temperature, least probability), by families that the judging model never saw.
+
+    The temperature gives the least loss over such texts (class unknown) and held-out variants of
+    known ones; at the least probability no more than `wrong` of the unseen are confirmed.
+    """
+    families = list(TEMPLATES)
+    logits, truth, unseen = [], [], []
+    for k in range(folds):
+        known = tuple(f for i, f in enumerate(families) if i % folds != k)
+        model, held, classes = fit(known, rounds)
+        sole = sole_grams(known)
+        texts = [t for f in families[k::folds] for t in TEMPLATES[f]]
+        z = np.stack([model.logits(t) for t in texts])
+        unseen += [(z[i], confirmable(t, model.classes[j], sole, overlap) if (j := int(z[i].argmax())) > 1 else False) for i, t in enumerate(texts)]
+        logits += [*held, *z]
+        truth += [*classes, *[1] * len(texts)]
+    grid = np.linspace(0.3, 8, 78)
+    loss = [-np.mean([np.log(_soft(z[None] / t)[0, c] + 1e-9) for z, c in zip(logits, truth)]) for t in grid]
+    heat = float(grid[int(np.argmin(loss))])
+    sure = sorted((_soft(z[None] / heat)[0].max() for z, ok in unseen if ok), reverse=True)
+    allowed = int(wrong * len(unseen))
+    return heat, max(0.5, min(0.9, float(sure[allowed]) + 1e-6)) if len(sure) > allowed else 0.5
+
+
+@lru_cache
+def train(rounds: int = 300) -> Model:
+    model, _, _ = fit(tuple(TEMPLATES), rounds)
+    model.temperature = calibration()[0]
+    return model
 
 
 def _grams(words):
@@ -216,27 +317,26 @@ def _stretches(words: str, hits: str) -> str:
     return f"array_distinct(concat({', '.join(map(cut, GAPS))}))"
 
 
-def scan(docs: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, least: float | None = None, overlap: float = 0.5) -> DataFrame:
     """doc_id, license, probability, template_overlap, n_paragraphs, families: one row per row of docs.
 
     license is the surest confirmed family, else unknown if a paragraph states a license, else none.
+    least: the calibrated one unless given.
     """
+    least = calibration()[1] if least is None else least
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     model = train()
     names = [f"w{i}" for i in range(len(model.classes))]
     weights = F.broadcast(spark.createDataFrame([(g, *map(float, model.weights[i] / model.temperature)) for g, i in model.vocabulary.items()], "gram string, " + ", ".join(f"{n} double" for n in names)))
     texts = [(f, f"{f}/{k}", ngrams(t)) for f, ts in [*TEMPLATES.items(), (OTHER, UNKNOWN)] for k, t in enumerate(ts)]
-    holders: dict[str, set] = {}
-    for f, _, grams in [*texts, *((NONE, "", ngrams(t)) for t in PLAIN)]:
-        for g in grams:
-            holders.setdefault(g, set()).add(f)
-    templates = F.broadcast(spark.createDataFrame([(f, k, len(grams), g, len(holders[g]) == 1) for f, k, grams in texts for g in sorted(grams)], "family string, template string, size int, gram string, sole boolean"))
+    sole = sole_grams(TEMPLATES)
+    templates = F.broadcast(spark.createDataFrame([(f, k, len(grams), g, g in sole.get(f, ())) for f, k, grams in texts for g in sorted(grams)], "family string, template string, size int, gram string, sole boolean"))
     pairs = F.broadcast(spark.createDataFrame([(g,) for g in sorted({g for *_, grams in texts for g in grams if g.count(" ") == 1})], "pair string"))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     has = F.coalesce(F.col("text").rlike(TERMS), F.lit(False))
-    lines = slim.where(has).select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    lines = slim.where(has).select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(F.regexp_replace("text", WRAPPED, " "), "\n").alias("lines"))
     lines = lines.select("doc_id", "row", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("par"), x.alias("line"))), lambda s: s["line"].rlike(TERMS)).alias("found"))
     held = scratch.write(lines, "lines")
     found = held.select("row", F.explode("found").alias("f")).select("row", F.col("f.par").alias("par"), F.col("f.line").alias("line"))
@@ -260,12 +360,12 @@ def scan(docs: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame
     scored = scored.withColumn("family", F.element_at(classes, F.array_position("e", F.array_max("e")).cast("int"))).select("row", "par", "piece", "n", "p", "family")
     asked = F.col("same") >= overlap * F.least("size", F.lit(MOST_ASKED))
     like = each.join(templates, "gram").groupBy("row", "par", "piece", "family", "template", "size").agg(F.count("*").alias("same"), F.bool_or("sole").alias("sole"))
-    like = like.groupBy("row", "par", "piece", "family").agg(F.max("same").alias("same"), F.bool_or(asked & F.col("sole")).alias("enough"))
+    like = like.groupBy("row", "par", "piece", "family").agg(F.max("same").alias("same"), F.bool_or("sole").alias("sole"), F.bool_or(asked & F.col("sole")).alias("enough"))
     judged = scored.where(F.col("family") != NONE).join(like, ["row", "par", "piece", "family"], "left")
     alone = F.col("piece") == ""
     share = F.coalesce(F.col("same"), F.lit(0)) / F.col("n")
     likely = (F.col("p") >= least) & (share >= overlap)
-    sure = (F.col("family") != OTHER) & likely
+    sure = (F.col("family") != OTHER) & likely & F.coalesce(F.col("sole"), F.lit(False))
     judged = judged.where(alone | (likely & F.col("enough"))).select("row", "par", F.when(sure, F.col("family")).otherwise(OTHER).alias("family"), sure.alias("sure"), "p", F.when(F.col("family") != OTHER, share).otherwise(0.0).alias("share"))
     lines = judged.groupBy("row", "par").agg(F.max(F.struct("sure", "p", "share", "family")).alias("top"), F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("stated"))
     stated = F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.array(F.lit(OTHER)))
