@@ -1,33 +1,51 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-Base spans are what the four patterns and their checks give. The tagger reads windows of characters
-around digits, at-signs and written-out at-signs (no span of the four kinds is without one), half
-overlapping; the windows' emissions are blended by the distance from their edges, and one Viterbi
-path over each whole stretch reconciles them. Its spans are added where they don't touch a base span
-and hold what their kind needs. Network and transitions are trained here, in numpy, on labelled spans
-set among invented prose and look-alikes (versions, dates, prices, hex strings, other numbers).
-
-Null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows are each
-read, texts whole. An empty table gives an empty result.
+Base spans are what the four patterns and their checks give. The tagger looks for further ones, above
+all those that are written out ("joe at mail dot com", "five five five ...", "(212) 555-0187"). It
+reads the stretches of a text that lie within MARGIN characters of a trigger: a digit, an at-sign, an
+"at" or "dot" that may stand for one, a run of figures in words. A test holds that all labelled spans
+lie in such stretches, so what is skipped holds none. A stretch is read in overlapping windows, whose
+emissions are blended by the distance from their edges; one Viterbi path over the whole stretch
+reconciles them. A span's score is how much its path gains over leaving it out; it is added where it
+touches no base span, reaches its kind's least score, calibrated on windows that trained nothing, and
+holds what its kind means: an email an at and then a dot, an IP four numbers of at most 255, a card 13
+to 19 digits passing Luhn, a phone 9 to 15 digits, as signs or as words.
+
+Network and transitions are trained by `train`, in numpy, on labelled spans set among invented prose
+and look-alikes (versions, dates, prices, hex strings, other numbers, the same words in other use).
+That takes some minutes, so its result is kept beside this module: `python -m kvlake.llm.pii` makes it
+again.
+
+Null and empty texts have no spans. Positions are code points, ends exclusive. Very long texts are
+read whole; a stretch of over LONGEST characters is cut at a space. Repeated rows are each read; spans
+of one kind never overlap, those of different kinds may. Columns besides doc_id and text are not read
+when spans are found, and pass unchanged (n_chars is brought up to date) when they are masked. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import made_in_task, read_table, small_slices, text_buffer
+from .common import read_table, small_slices
 
 KINDS = ("email", "ip", "card", "phone")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-WINDOW, STRIDE, MARGIN = 64, 32, 32
+#: Characters of a window in training and in reading, and between the beginnings of two windows that are read.
+TRAINED, WINDOW, STRIDE = 64, 96, 64
+#: Characters around a trigger that are read; longest stretch.
+MARGIN, LONGEST = 64, 4096
 N_TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 # ---------------------------------------------------------------- patterns
@@ -37,7 +55,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]")
+_FIGURES = "zero one two three four five six seven eight nine".split()
+_TRIGGER = re.compile(r"[0-9@]|\bdot\b|[(\[{] ?(?:at|dot)\b|\bat [\w.-]{1,64}\.[a-z]{2,6}\b|\b(?:" + "|".join(_FIGURES) + r"|oh)[ ,-]+(?:" + "|".join(_FIGURES) + r"|oh)[ ,-]+(?:" + "|".join(_FIGURES) + r"|oh)\b", re.I)
+_AT_AND_DOT = re.compile(r"(?:@|\bat\b).*(?:\.|\bdot\b)", re.I | re.S)
+_FIGURE = re.compile(r"[0-9]|\b(?:" + "|".join(_FIGURES) + r"|oh)\b", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -52,6 +73,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _at_most_255(number: str) -> bool:
+    """Of a run of digits, however long."""
+    number = number.lstrip("0")
+    return len(number) < 4 and int(number or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out, begin = [], 0
     at = text.find("@")
@@ -67,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             begin = max(begin, at + 1)
         at = text.find("@", max(at + 1, begin))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(_at_most_255(p) for p in m[0].split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -79,17 +106,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
-def plausible(kind: str, s: str) -> bool:
-    """What an added span must hold."""
-    d = _digits(s)
+def figures(s: str) -> str:
+    """The digits of a span, whether written as digits or as words."""
+    return "".join(x if x.isdigit() else str(_FIGURES.index(x.lower())) if x.lower() in _FIGURES else "0" for x in _FIGURE.findall(s))
+
+
+def means(kind: str, s: str) -> bool:
+    """Whether an added span holds the figures that its kind means."""
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)+", s, re.I))
+        return bool(_AT_AND_DOT.search(s))
     if kind == "ip":
-        parts = re.split(r"\.| ?[\[(]\.[\])] ?", s)
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[ ._/-]{0,2}[0-9])+", s))
-    return 10 <= len(d) <= 15 and bool(re.fullmatch(r"\+?\(?[0-9](?:[ ().\/-]{0,3}[0-9])+", s)) and bool(re.search(r"[ ().\/-]", s)) and not re.fullmatch(r"[0-9. ]+", s)
+        numbers = re.findall(r"[0-9]+", s)
+        return len(numbers) == 4 and all(map(_at_most_255, numbers))
+    d = figures(s)
+    return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
 
 
 # ---------------------------------------------------------------- network
@@ -195,10 +225,13 @@ def crf_gradient(em: np.ndarray, tags: np.ndarray, trans: np.ndarray):
 
 
 class Tagger:
-    """Parameters: character tables and recurrent weights of both directions; output weights, bias; transitions."""
+    """Parameters: character tables and recurrent weights of both directions; output weights, bias; transitions.
 
-    def __init__(self, parameters: list[np.ndarray]):
-        self.p = parameters
+    least: the least score of a span of each kind.
+    """
+
+    def __init__(self, parameters: list[np.ndarray], least=None):
+        self.p, self.least = parameters, np.zeros(len(KINDS)) if least is None else least
 
     def emissions(self, ids: np.ndarray, keep: bool = False):
         """Emissions (time, batch, tag), and what the gradient needs."""
@@ -218,71 +251,112 @@ def bars() -> np.ndarray:
 
 # ---------------------------------------------------------------- labelled spans
 
-_SYLLABLES = "ar en ti on la de ver sch eau ción mo ra li st und the or es ne ka é ñ ü ß".split()
+_SYLLABLES = "ar en ti on la de ver sch eau ción mo ra li st und the or es ne ka é ñ ü ß ing er he nd at do ot th ea ha in re nt ed es ly ble ia ar ero ao ie ge keit ung ich ein eau oi ai".split()
+_COMMON = "at the of in on and to a is it with from by for der die das und le la les de un est el los que no at dot com at home one two of five at".split()
 
 
-def labelled_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character ids and tags of windows with spans and look-alikes at random places."""
+def labelled_texts(n: int, seed: int, spans: float = 0.16) -> Iterator[tuple[str, list[int]]]:
+    """Texts of some length, with the tag of each character; a share `spans` of their words are spans, as many look-alikes."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda a, b=None: "".join(str(x) for x in rng.integers(0, 10, int(rng.integers(a, (b or a) + 1))))
     word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(1, 4))))
-    latin = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 9))))
+    latin = lambda: pick(["".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 9)))), "".join(c for c in word() + word() if c.isascii()) or "ann", pick("joe jane mary info sales admin peter max lena web mail post office acme example server".split())])
 
     def card() -> str:
         d = num(12, 18)
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = pick(["", "", " ", "-", "."])
+        sep = pick(["", "", " ", "-", ".", "/", "_"])
         return d if not sep else sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
-    def span() -> tuple[str, int]:
-        k = int(rng.integers(4))
-        if k == 0:
-            name = pick([latin() + pick([".", "_", ""]) + latin(), word() + "." + num(1, 3), latin() + num(0, 3)])
-            name = "".join(c for c in name if c.isascii())  or "x"
-            host, top = pick([latin(), latin() + num(1), "mail" + num(1) + ".example"]), pick(["com", "org", "net", "de", "co.uk"])
-            return pick([f"{name}@{host}.{top}"] * 4 + [f"{name} (at) {host}.{top}", f"{name}[at]{host}[dot]{top}", f"{name} (at) {host} (dot) {top}"]), 0
-        if k == 1:
-            parts = [str(x) for x in rng.integers(0, 256, 4)]
-            return pick([".".join(parts)] * 4 + ["[.]".join(parts), "(.)".join(parts)]), 1
-        if k == 2:
-            return card(), 2
+    def email() -> str:
+        name = pick([latin() + pick([".", "_", ""]) + latin(), latin() + "." + num(1, 3), latin() + num(0, 3), latin()])
+        host, top = pick([latin(), latin() + num(1), latin() + "." + latin(), "mail" + num(1) + ".example"]), pick(["com", "org", "net", "de", "co.uk", "info", "io", "fr", "es"])
+        x = rng.random()
+        if x < 0.3:
+            return f"{name}@{host}.{top}"
+        at, dot = pick([(" at ", " dot ")] * 5 + [(" AT ", " DOT "), ("(at)", "."), (" (at) ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", "."), ("{at}", "{dot}"), (" @ ", " . ")])
+        whole = name + at + host.replace(".", dot) + dot + top.replace(".", dot)
+        return whole if rng.random() < 0.6 else whole.replace(".", dot)
+
+    def ip() -> str:
+        return pick([".", ".", ".", "[.]", "(.)", " . ", " dot ", "-dot-", " [dot] "]).join(str(x) for x in rng.integers(0, 256, 4))
+
+    def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return pick([f"+{num(1, 2)} ({a}) {b}-{c}", f"+{num(1, 3)} {a} {b} {c}", f"+{num(10, 12)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)}-{a}-{b}-{c}", f"+{num(2)}/{a}/{b}{c}", f"{a}/{b}-{c}"]), 3
+        if rng.random() < 0.2:
+            sep = pick([" ", " ", "-", ", "])
+            return sep.join(pick([_FIGURES[int(x)]] * 12 + ["oh" if x == "0" else _FIGURES[int(x)]]) for x in num(9, 11))
+        return pick([f"+{num(1, 2)} ({a}) {b}-{c}", f"+{num(1, 3)} {a} {b} {c}", f"+{num(10, 12)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)}-{a}-{b}-{c}", f"+{num(2)}/{a}/{b}{c}", f"{a}/{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"tel:{a}-{b}-{c}"[4:]])
 
     def decoy() -> str:
-        return pick([f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.{num(1, 2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"${num(1, 5)}.{num(2)}", "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(8, 40)))), num(1, 8), f"{num(1, 3)},{num(3)}", f"@{latin()}", f"{num(1, 3)}%", f"No. {num(1, 4)}", f"{num(20, 30)}", f'token = "{num(4)}{latin()}{num(6)}"', f"{num(3)}-{num(5)}", f"({num(4)})", f"+{num(1, 2)}", f"{num(2)}.{num(2)}.{num(4)}"])
+        few = " ".join(_FIGURES[int(x)] for x in num(1, 4))
+        return pick([f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.{num(1, 2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"${num(1, 5)}.{num(2)}", "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(8, 44)))), num(1, 8), f"{num(1, 3)},{num(3)}", f"@{latin()}", f"{num(1, 3)}%", f"No. {num(1, 4)}", f"{num(20, 30)}", f'token = "{num(4)}{latin()}{num(6)}"', 'token = "' + "".join(pick("0123456789abcdef") for _ in range(40)) + '"', f"{num(3)}-{num(5)}", f"({num(4)})", f"+{num(1, 2)}", f"{num(2)}.{num(2)}.{num(4)}", few, f"{few} or {few}", f"{word()} at {word()}", f"look at {latin()} dot", f"{word()} dot {word()}", f"at {few}", f"{latin()} at {word()} and {word()}", f"{word()}. At {word()}", f"dot {word()} com", f"{word()} at the {latin()}. {word().capitalize()}", f"{latin()}.{latin()}", f"www.{latin()}.com"])
+
+    made = (email, ip, card, phone)
 
-    ids, tags = np.zeros((n, WINDOW), np.uint8), np.zeros((n, WINDOW), np.int64)
-    for r in range(n):
+    def span() -> tuple[str, int]:
+        k = pick([0, 0, 1, 2, 3])
+        return made[k](), k
+
+    for _ in range(n):
         text, mark, filled = [], [], 0
-        while filled < 3 * WINDOW:
+        while filled < 3 * TRAINED:
             x = rng.random()
-            if x < 0.16:
+            if x < spans:
                 s, k = span()
                 t = [2 + 2 * k] * len(s)
                 t[0] = 1 + 2 * k
             else:
-                s = decoy() if x < 0.32 else word().capitalize() if x < 0.4 else word()
+                s = decoy() if x < spans + 0.14 else word().capitalize() if x < spans + 0.2 else pick(_COMMON) if x < spans + 0.4 else word().upper() if x < spans + 0.44 else word()
                 t = [0] * len(s)
             if rng.random() < 0.1 and t[-1] == 0 and not s[-1].isdigit():
                 glue = ""
             else:
-                glue = pick([" ", " ", " ", " ", ", ", ". ", "\n", ": "])
+                glue = pick([" "] * 12 + [", ", ", ", ". ", ". ", "\n", "\n", ": ", "; ", "### ", "!! ", "&&& ", "$$$ ", "%%% ", "*** "])
             text.append(s + glue)
             mark += t + [0] * len(glue)
             filled += len(s) + len(glue)
-        whole = char_ids("".join(text))
-        at = int(rng.integers(0, len(whole) - WINDOW))
-        ids[r], tags[r] = whole[at : at + WINDOW], mark[at : at + WINDOW]
-        for t in range(WINDOW):  # a span that the window cuts begins with its I as B
+        yield "".join(text), mark
+
+
+def labelled_windows(n: int, seed: int, spans: float = 0.16) -> tuple[np.ndarray, np.ndarray]:
+    """Character ids and tags of windows of labelled texts, at random places."""
+    rng = np.random.default_rng(seed + 1000)
+    ids, tags = np.zeros((n, TRAINED), np.uint8), np.zeros((n, TRAINED), np.int64)
+    for r, (text, mark) in enumerate(labelled_texts(n, seed, spans)):
+        whole = char_ids(text)
+        at = int(rng.integers(0, len(whole) - TRAINED))
+        ids[r], tags[r] = whole[at : at + TRAINED], mark[at : at + TRAINED]
+        for t in range(TRAINED):  # a span that the window cuts begins with its I as B
             if tags[r, t] and tags[r, t] % 2 == 0 and (t == 0 or tags[r, t - 1] not in (tags[r, t], tags[r, t] - 1)):
                 tags[r, t] -= 1
     return ids, tags
 
 
-@lru_cache
-def train(n: int = 3000, hidden: int = 24, epochs: int = 9, batch: int = 100, rate: float = 0.02, seed: int = 3) -> Tagger:
+def calibrated(model: Tagger, n: int, seed: int, right: float = 0.99) -> np.ndarray:
+    """Least score of each kind: the share of right spans above it reaches `right` in labelled texts, and none is found in texts without spans."""
+    out = np.zeros(len(KINDS))
+    scores: list[list] = [[] for _ in KINDS]
+    for share in (0.16, 0.0):
+        texts = list(labelled_texts(n, seed, share))
+        for (text, mark), spans in zip(texts, tag([char_ids(t) for t, _ in texts], model)):
+            true = {(a, b, k) for a, b, k in path_spans(np.array(mark))}
+            for a, b, kind, score in spans:
+                if means(kind, text[a:b]):
+                    good = any(k == kind and a < d and c < b for c, d, k in true)
+                    scores[_ORDER[kind]].append((score, good))
+                    if not share:
+                        out[_ORDER[kind]] = max(out[_ORDER[kind]], score + 1e-3)
+    for k, found in enumerate(scores):
+        found.sort(reverse=True)
+        good = np.cumsum([g for _, g in found]) / (np.arange(len(found)) + 1)
+        enough = np.flatnonzero(good >= right)
+        out[k] = max(out[k], found[int(enough[-1])][0]) if len(enough) else np.inf
+    return out
+
+
+def train(n: int = 9000, hidden: int = 24, epochs: int = 10, batch: int = 100, rate: float = 0.02, seed: int = 3) -> Tagger:
     rng = np.random.default_rng(seed)
     ids, tags = labelled_windows(n, seed)
     k = hidden
@@ -311,7 +385,7 @@ def train(n: int = 3000, hidden: int = 24, epochs: int = 9, batch: int = 100, ra
                 v[i] = 0.99 * v[i] + 0.01 * g * g
                 p[i] = (p[i] - step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
     p[4] = p[4] + barred
-    return Tagger(p)
+    return Tagger(p, calibrated(Tagger(p), n // 3, seed + 1))
 
 
 # ---------------------------------------------------------------- decoding
@@ -319,14 +393,22 @@ def train(n: int = 3000, hidden: int = 24, epochs: int = 9, batch: int = 100, ra
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around triggers, in order; those that would touch are one."""
-    out: list[tuple[int, int]] = []
+    out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+            out[-1][1] = b
         else:
-            out.append((a, b))
-    return out
+            out.append([a, b])
+    cut = []
+    for a, b in out:
+        while b - a > LONGEST:
+            at = text.rfind(" ", a + LONGEST // 2, a + LONGEST)
+            at = at if at > 0 else a + LONGEST
+            cut.append((a, at))
+            a = at
+        cut.append((a, b))
+    return cut
 
 
 def viterbi(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -350,29 +432,37 @@ def viterbi(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarra
     return path
 
 
-def tag_stretches(parts: list[np.ndarray], model: Tagger, at_once: int = 2048) -> list[np.ndarray]:
-    """Tags of each stretch, given as character ids."""
-    if not parts:
-        return []
+def read(parts: list[np.ndarray], model: Tagger, at_once: int = 512) -> np.ndarray:
+    """Emissions of the characters of texts (given as ids), one after another: those of their windows, blended."""
     sizes = np.array([len(x) for x in parts])
     first = np.concatenate([[0], np.cumsum(sizes)])
     counts = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
     owner = np.repeat(np.arange(len(parts)), counts)
     place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
-    flat = np.concatenate([*parts, np.zeros(WINDOW, np.uint8)])
+    place = np.minimum(place, np.maximum(0, sizes[owner] - WINDOW))  # the last one ends with its text
+    flat = np.concatenate([*parts, np.full(WINDOW, _ID[32], np.uint8)])
     em, weight = np.zeros((first[-1], N_TAGS), np.float32), np.zeros(first[-1], np.float32)
     ramp = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
     for a in range(0, len(owner), at_once):
         o, at = owner[a : a + at_once], place[a : a + at_once]
         inside = at[:, None] + np.arange(WINDOW) < sizes[o][:, None]
-        where = np.where(inside, first[o][:, None] + at[:, None] + np.arange(WINDOW), 0)
-        ids = np.where(inside, flat[where], 0)
-        e, _ = model.emissions(ids)
-        e = e.transpose(1, 0, 2) * ramp[None, :, None]
-        np.add.at(em, where[inside], e[inside])
-        np.add.at(weight, where[inside], np.broadcast_to(ramp, inside.shape)[inside])
-    em /= np.maximum(weight, 1e-6)[:, None]
-    out: list[np.ndarray] = [None] * len(parts)
+        where = np.where(inside, first[o][:, None] + at[:, None] + np.arange(WINDOW), first[-1])
+        e = model.emissions(flat[where])[0].transpose(1, 0, 2)
+        for k in range(len(o)):
+            i = first[o[k]] + at[k]
+            n = min(WINDOW, int(sizes[o[k]] - at[k]))
+            em[i : i + n] += e[k, :n] * ramp[:n, None]
+            weight[i : i + n] += ramp[:n]
+    return em / np.maximum(weight, 1e-6)[:, None]
+
+
+def tag(parts: list[np.ndarray], model: Tagger) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, kind, score) of the spans of stretches, given as character ids."""
+    out: list[list] = [[] for _ in parts]
+    if not parts:
+        return out
+    em, sizes, trans = read(parts, model), np.array([len(x) for x in parts]), model.p[4]
+    first = np.concatenate([[0], np.cumsum(sizes)])
     order = np.argsort(sizes, kind="stable")
     a = 0
     while a < len(order):
@@ -380,19 +470,23 @@ def tag_stretches(parts: list[np.ndarray], model: Tagger, at_once: int = 2048) -
         while b < len(order) and (b - a + 1) * sizes[order[b]] <= 200_000:
             b += 1
         group = order[a:b]
-        longest = int(sizes[group].max())
-        padded = np.zeros((len(group), longest, N_TAGS), np.float32)
+        padded = np.zeros((len(group), int(sizes[group].max()), N_TAGS), np.float32)
         for r, i in enumerate(group):
             padded[r, : sizes[i]] = em[first[i] : first[i + 1]]
-        paths = viterbi(padded, sizes[group], model.p[4])
-        for r, i in enumerate(group):
-            out[i] = paths[r, : sizes[i]]
+        for r, path in enumerate(viterbi(padded, sizes[group], trans)):
+            for x, y, kind in path_spans(path):
+                tags = np.concatenate([[0], path[x:y], [0]])
+                own = padded[r, x:y]
+                score = float((own[np.arange(y - x), path[x:y]] - own[:, 0]).sum() + trans[tags[:-1], tags[1:]].sum() - (y - x + 1) * trans[0, 0])
+                out[group[r]].append((x, y, kind, score))
         a = b
     return out
 
 
 def path_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
     out, start, kind = [], -1, 0
+    if not path.any():
+        return out
     for t, tag in enumerate([*path.tolist(), 0]):
         if start >= 0 and tag != 2 + 2 * kind:
             out.append((start, t, KINDS[kind]))
@@ -404,46 +498,46 @@ def path_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
 
 def find_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text."""
-    base = [base_spans(t) for t in texts]
     parts, where = [], []
     for d, text in enumerate(texts):
-        ids = None
-        for a, b in stretches(text):
-            ids = char_ids(text) if ids is None else ids
-            parts.append(ids[a:b])
-            where.append((d, a))
-    added: list[list] = [[] for _ in texts]
-    for (d, a), path in zip(where, tag_stretches(parts, model)):
-        if path.any():
-            text = texts[d]
-            for s, e, kind in path_spans(path):
-                s, e = s + a, e + a
-                if plausible(kind, text[s:e]) and not any(s < y and x < e for x, y, _ in base[d]) and not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum()):
-                    added[d].append((s, e, kind))
-    return list(zip(base, added))
+        found = stretches(text)
+        if found:
+            ids = char_ids(text)
+            parts += [ids[a:b] for a, b in found]
+            where += [(d, a) for a, _ in found]
+    tagged: list[list] = [[] for _ in texts]
+    for (d, a), spans in zip(where, tag(parts, model)):
+        tagged[d] += [(a + x, a + y, kind, score) for x, y, kind, score in spans]
+    out = []
+    for text, spans in zip(texts, tagged):
+        base = base_spans(text)
+        starts = [s for s, _, _ in base]
+        reach = list(accumulate((e for _, e, _ in base), max))  # the furthest end of the spans so far
+        added = []
+        for s, e, kind, score in spans:
+            k = bisect_left(starts, e)  # base spans that begin before this one ends
+            if score >= model.least[_ORDER[kind]] and not (k and reach[k - 1] > s) and means(kind, text[s:e]) and not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum()):
+                added.append((s, e, kind))
+        out.append((base, added))
+    return out
 
 
 def joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], _ORDER[s[2]])))
 
 
-_DIGIT_OR_AT = np.zeros(256, bool)
-_DIGIT_OR_AT[[*range(0x30, 0x3A), 0x40]] = True
+_KEPT = Path(__file__).with_name("pii_tagger.npz")
 
 
-def triggered(column) -> np.ndarray:
-    """Which rows hold a trigger, from their bytes."""
-    data, offsets = text_buffer(column)
-    hit = _DIGIT_OR_AT[data]
-    at = np.flatnonzero((data[:-1] | 32) == 97)  # an a, then t
-    at = at[(data[at + 1] | 32) == 116] if len(at) else at
-    hit[at[np.isin(data[np.maximum(at - 1, 0)], (0x28, 0x5B, 0x20))]] = True
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    return sums[offsets[1:]] > sums[offsets[:-1]]
+@lru_cache
+def trained() -> Tagger:
+    """What `train` made, read on the driver."""
+    with np.load(_KEPT) as kept:
+        return Tagger([kept[f"p{i}"] for i in range(5)], kept["least"])
 
 
 def _handed(docs: DataFrame):
-    return docs.sparkSession.sparkContext.broadcast(made_in_task(docs.sparkSession, train))
+    return docs.sparkSession.sparkContext.broadcast(trained())
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -451,14 +545,12 @@ def find(docs: DataFrame) -> DataFrame:
     model = _handed(docs)
     nothing = hashlib.sha256(b"").hexdigest()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_slices(batch):
                 n = part.num_rows
                 counts, sha, spans, extra = np.zeros((4, n), np.int64), [nothing] * n, [""] * n, np.zeros(n, np.int64)
-                some = np.flatnonzero(triggered(part.column(1)))
-                texts = part.column(1).take(pa.array(some, pa.int64())).to_pylist()
-                for i, (base, added) in zip(some, find_spans(texts, model.value)):
+                for i, (base, added) in enumerate(find_spans(part.column(1).to_pylist(), model.value)):
                     for _, _, kind in base:
                         counts[_ORDER[kind], i] += 1
                     if base:
@@ -467,7 +559,7 @@ def find(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, counts), pa.array(sha), pa.array(spans), pa.array(extra)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(read, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return slim.mapInArrow(tell, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str, spans: list) -> str:
@@ -489,19 +581,17 @@ def mask_documents(docs: DataFrame) -> DataFrame:
             for part in small_slices(batch):
                 names = part.schema.names
                 k = names.index("text")
-                some = np.flatnonzero(triggered(part.column(k)) & np.array(part.column(k).is_valid()))
-                if len(some):
-                    text = part.column(k).to_pylist()
-                    chars = part.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-                    for i, (base, added) in zip(some, find_spans([text[i] for i in some], model.value)):
-                        if base or added:
-                            text[i] = masked(text[i], base + added)
-                            if chars:
-                                chars[i] = len(text[i])
-                    part = part.set_column(k, part.schema.field(k), pa.array(text, part.schema.field(k).type))
-                    if chars:
-                        c = names.index("n_chars")
-                        part = part.set_column(c, part.schema.field(c), pa.array(chars, part.schema.field(c).type))
+                text = part.column(k).to_pylist()
+                chars = part.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
+                for i, (base, added) in enumerate(find_spans([t or "" for t in text], model.value)):
+                    if base or added:
+                        text[i] = masked(text[i], base + added)
+                        if chars:
+                            chars[i] = len(text[i])
+                for name, values in (("text", text), ("n_chars", chars)):
+                    if values is not None:
+                        c = names.index(name)
+                        part = part.set_column(c, part.schema.field(c), pa.array(values, part.schema.field(c).type))
                 yield part
 
     return docs.mapInArrow(mask, docs.schema)
@@ -509,3 +599,8 @@ def mask_documents(docs: DataFrame) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(read_table(spark, sf_dir, "documents"))
+
+
+if __name__ == "__main__":
+    made = train()
+    np.savez_compressed(_KEPT, least=made.least, **{f"p{i}": x for i, x in enumerate(made.p)})
