@@ -1,15 +1,21 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Block elements are nodes with two states, content or not. A node's figures (tag, names in class, id
-and role, text and link share, what encloses it) give its own potential; a potential couples each
-node with its parent. Sum-product messages go up and down the tree once and give exact marginals.
-The weights are trained by the same messages, as a conditional random field, on labelled pages that
-`labelled_pages` lays out: articles with menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments around and among them. Text of nodes with a content marginal above 0.5 is kept,
-in page order; character references are decoded and white space becomes one space.
+Block elements, and inline ones whose names tell of an advert, a notice and the like, are nodes with
+two states, content or not. A node's figures (tag, names in class, id and role, text and link share,
+what encloses it) give its own potential; a potential couples each node with its parent. Sum-product
+messages go up and down the tree once and give exact marginals. The weights are trained by the same
+messages, as a conditional random field, on labelled pages that `labelled_pages` lays out: articles
+with menus, headers, footers, sidebars, notices, adverts, forms and reader comments around and among
+them. Text of nodes with a content marginal above 0.5 is kept, in page order; character references
+are decoded and white space becomes one space.
 
 Null and empty html, and pages without content, have the empty text. Unclosed and stray tags are
-taken as browsers do, roughly. Repeated rows are each read. An empty table gives an empty result.
+taken as browsers do, roughly: scripts, styles, templates, titles, text areas and frames are skipped
+up to their end tag, buttons and selects too; one that has none ends where a block begins or its
+parent ends. Elements nested over DEEPEST deep stay siblings at that depth, as browsers do; their text
+is kept. Very long pages are read whole, in time linear in their length. Repeated rows are each read.
+A marginal of just 0.5 drops. Columns besides page_id, url and html are not read, those of the result
+may clash with them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +33,12 @@ from pyspark.sql import functions as F
 from .common import made_in_task, read_table, small_slices
 
 # How tags behave.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr label".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr label math mi mn mo ms mtext mrow mfrac msup msub msqrt semantics annotation svg g path text tspan".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object select textarea button title".split()
+#: Skipped up to their end tag; and those that markup may stand in, whose text is dropped all the same.
+RAW = frozenset("script style template textarea title iframe noembed".split())
+MUTE = RAW | {"button", "select"}
+DEEPEST = 512
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead div section article main nav aside header footer body html form blockquote".split())
 TAGS = "html body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th nav header footer aside form fieldset blockquote pre figure figcaption address details summary".split()
@@ -48,72 +57,185 @@ NAMES = {
 }
 _NAME = {w: k for k, words in enumerate(NAMES.values()) for w in words.split()}
 _TAG = {t: i for i, t in enumerate(TAGS)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r""")\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+#: Marks content in laid-out pages.
+_MARK = "data-y"
 N_FIGURES = len(TAGS) + 1 + 2 * len(NAMES) + 13
 
 
+#: Names that make an inline element a node of its own.
+_APART = frozenset(k for k, group in enumerate(NAMES) if group in ("menu", "advert", "notice", "form", "social", "comment"))
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_EDGE = re.compile(r"""[>"']""")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+
+
+def tags(html: str):
+    """(start, end, name, closing, attributes) of each tag; the name is empty for comments and the like.
+
+    A raw element with an end tag is one tag up to that, with closing None. Every search goes on where
+    the last one ended, or is known to fail from there on.
+    """
+    at, none = 0, set()
+    while True:
+        i = html.find("<", at)
+        if i < 0:
+            return
+        sign = html[i + 1 : i + 2]
+        name, attributes, closing = "", "", False
+        if html.startswith("<!--", i):
+            j = html.find("-->", i + 2)
+            end = len(html) if j < 0 else j + 3
+        elif sign and sign in "!?/":
+            m = _TAG_NAME.match(html, i + 2) if sign == "/" else None
+            j = html.find(">", i + 2)
+            if j < 0:
+                return  # no tag can end any more
+            end = j + 1
+            if m:
+                name, closing = m[0].lower(), True
+        elif m := _TAG_NAME.match(html, i + 1):
+            name, end = m[0].lower(), m.end()
+            while True:
+                q = _EDGE.search(html, end)
+                if not q:
+                    return
+                end = q.end()
+                if q[0] == ">":
+                    break
+                k = q.start() - 1
+                while html[k].isspace():
+                    k -= 1
+                if html[k] == "=" and q[0] not in none:  # a quoted value
+                    j = html.find(q[0], end)
+                    if j < 0:
+                        none.add(q[0])
+                    else:
+                        end = j + 1
+            attributes = html[m.end() : end - 1]
+            if name in RAW and name not in none:
+                close = _ENDS[name].search(html, end)
+                if close:
+                    end, closing = close.end(), None
+                else:
+                    none.add(name)
+        else:
+            at = i + 1
+            continue
+        yield i, end, name, closing, attributes
+        at = end
+
+
 class Page:
-    """Blocks of a page in order: tag, parent, depth, names; and its text in pieces (block, text, in a link)."""
+    """Nodes of a page in order: tag, parent, depth, names, mark; and its text in pieces (node, text, in a link)."""
 
-    __slots__ = ("tags", "parents", "depths", "names", "pieces")
+    __slots__ = ("tags", "parents", "depths", "names", "marks", "pieces")
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.depths, self.names = ["html"], [-1], [0], [()]
+        self.tags, self.parents, self.depths, self.names, self.marks = ["html"], [-1], [0], [()], [0]
         self.pieces: list[tuple[int, str, bool]] = []
-        stack, links, at = [0], 0, 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self.pieces.append((stack[-1], html[at : m.start()], links > 0))
-            at = m.end()
-            if m[1]:
-                if m[1].lower() in ("title", "select", "textarea", "button", "iframe", "object"):
-                    self.pieces.append((stack[-1], " ", False))
+        blocks, opened = [("html", 0)], {}  # open blocks, and how many there are of each tag
+        inner: list[list[tuple[str, int]]] = [[]]  # open inline elements of each block, with the node each is in
+        node, links, mute, at = 0, False, None, 0
+
+        def add(tag: str, attributes: str) -> int:
+            self.tags.append(tag)
+            self.parents.append(node)
+            self.depths.append(self.depths[node] + 1)
+            self.names.append(names_in(attributes))
+            self.marks.append(int(_MARK in attributes))
+            return len(self.tags) - 1
+
+        def close(to: int) -> None:
+            for tag, _ in blocks[to:]:
+                opened[tag] -= 1
+            del blocks[to:], inner[to:]
+
+        for start, end, tag, closing, attributes in tags(html):
+            if start > at and mute is None:
+                self.pieces.append((node, html[at:start], links))
+            at = end
+            if not tag:
+                continue
+            if closing is None:  # a raw element as a whole
+                if mute is None and tag not in ("script", "style", "template"):
+                    self.pieces.append((node, " ", False))
                 continue
-            if not m[2]:
+            if mute is not None:
+                if closing and tag == mute:
+                    mute = None
+                    continue
+                if tag in INLINE or tag in VOID or tag in MUTE or tag in ("option", "optgroup") or (closing and not opened.get(tag)):
+                    continue
+                mute = None  # a block begins, or its parent ends
+            if tag in MUTE:
+                if not closing:
+                    mute = tag
+                    self.pieces.append((node, " ", False))
                 continue
-            tag, end = m[2].lower(), html[m.start() + 1] == "/"
-            if tag in INLINE:
+            if tag in INLINE and tag not in VOID:
+                own = inner[-1]
+                if closing:
+                    if any(t == tag for t, _ in own[-DEEPEST:]):
+                        while own:
+                            t, node = own.pop()
+                            if t == tag:
+                                break
+                elif not attributes.endswith("/"):
+                    own.append((tag, node))
+                    if _APART & set(names_in(attributes)) and self.depths[node] < DEEPEST:
+                        node = add(tag, attributes)
                 if tag == "a":
-                    links = max(0, links - 1) if end else 1
+                    links = not closing
                 continue
-            self.pieces.append((stack[-1], " ", False))  # a block's edge, or a break
+            self.pieces.append((node, " ", False))  # a block's edge, or a break
             if tag in VOID or tag in ("html", "head"):
                 continue
-            if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        del stack[k:]
-                        links = 0
+            if closing:
+                if opened.get(tag):
+                    k = len(blocks) - 1
+                    while blocks[k][0] != tag:
+                        k -= 1
+                    close(k)
+                    node, links = blocks[-1][1], False
+                continue
+            if tag != "p" or blocks[-1][0] == "p":  # a paragraph ends where a block begins
+                while blocks[-1][0] == "p":
+                    close(len(blocks) - 1)
+            if any(opened.get(t) for t in CLOSES.get(tag, ())):
+                for k in range(len(blocks) - 1, 0, -1):
+                    if blocks[k][0] in CLOSES[tag]:
+                        close(k)
+                        break
+                    if blocks[k][0] in SCOPES:
                         break
+            node, links = blocks[-1][1], False
+            new = add(tag, attributes)
+            if attributes.endswith("/"):
                 continue
-            if tag != "p" or self.tags[stack[-1]] == "p":  # a paragraph ends where a block begins
-                while len(stack) > 1 and self.tags[stack[-1]] == "p":
-                    stack.pop()
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = self.tags[stack[k]]
-                if open_tag in CLOSES.get(tag, ()):
-                    del stack[k:]
-                    break
-                if open_tag in SCOPES:
-                    break
-            links = 0
-            names = []
-            for a in _ATTR.finditer(m[3] or ""):
-                for w in _PARTS.findall(a[1] or a[2] or a[3] or ""):
-                    k = _NAME.get(w.lower())
-                    if k is not None:
-                        names.append(k)
-            self.tags.append(tag)
-            self.parents.append(stack[-1])
-            self.depths.append(self.depths[stack[-1]] + 1)
-            self.names.append(tuple(names))
-            if not (m[3] or "").endswith("/"):
-                stack.append(len(self.tags) - 1)
-        if at < len(html):
-            self.pieces.append((stack[-1], html[at:], links > 0))
+            if self.depths[new] < DEEPEST:
+                blocks.append((tag, new))
+                inner.append([])
+                opened[tag] = opened.get(tag, 0) + 1
+                node = new
+            else:
+                node = new  # its text is its own; what follows is its sibling
+        if at < len(html) and mute is None:
+            self.pieces.append((node, html[at:], links))
+
+
+def names_in(attributes: str) -> tuple[int, ...]:
+    """The known words in class, id and role."""
+    found = []
+    if attributes:
+        for a in _ATTR.finditer(attributes):
+            for w in _PARTS.findall(a[1] or a[2] or a[3] or ""):
+                k = _NAME.get(w.lower())
+                if k is not None:
+                    found.append(k)
+    return tuple(found)
 
 
 class Forest:
@@ -143,7 +265,8 @@ class Forest:
                     commas[a + b] += text.count(",")
                     if linked:
                         link[a + b] += size
-        levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max()) + 1)] if n else []
+        order = np.argsort(self.depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1) if n else []
         self.levels = levels
         below, below_link, kids, p_text = own.copy(), link.copy(), np.zeros(n), np.where(tag == _TAG["p"], own, 0.0)
         for at in levels[:0:-1]:
@@ -199,11 +322,10 @@ def sum_product(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
 # ---------------------------------------------------------------- labelled pages
 
 _SYLLABLES = "ar en ti on la de ver sch eau ción mo ra li st und the or es ne ka".split()
-_MARK = "data-y"
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
-    """Pages laid out at random, with the label of each block; content blocks carry a mark that is cut off."""
+def labelled_pages(n: int = 240, seed: int = 5, marked: bool = False) -> list[tuple[str, list[int]]]:
+    """Pages laid out at random, with the label of each node; content blocks carry a mark, cut off unless `marked`."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(rng.integers(1, 4))))
@@ -240,7 +362,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
     for _ in range(n):
         body = []
         for i in range(int(rng.integers(0, 9))):
-            body.append(pick([f"<p{y}>{text(1, 7)}</p>", f"<p{y}>{text(1, 7)}</p>", f"<p{y}><b>{sentence()}</b><br>{text(1, 3)}</p>", f"<p{y}><b>{sentence()}<br>", f"<h2{y}>{some(2, 7)}</h2>", f"<ul{y}>" + "".join(f"<li{y}>{sentence()}</li>" for _ in range(3)) + "</ul>", f"<blockquote{y}><p{y}>{text(1, 3)}</p></blockquote>", f"<div{y}>{text(2, 5)}</div>", f"<p{y}>{sentence()} <a href='/x'>{some(1, 4)}</a> {text(1, 3)}</p>", f"<table{y}><tr{y}><td{y}>{some(1, 3)}</td><td{y}>{some(1, 5)}</td></tr></table>", f"<pre{y}>{some(3, 12)}</pre>", f"<figure{y}><img src='x'><figcaption{y}>{sentence()}</figcaption></figure>"]))
+            body.append(pick([f"<p{y}>{text(1, 7)}</p>", f"<p{y}>{text(1, 7)}</p>", f"<p{y}><b>{sentence()}</b><br>{text(1, 3)}</p>", f"<p{y}><b>{sentence()}<br>", f"<h2{y}>{some(2, 7)}</h2>", f"<ul{y}>" + "".join(f"<li{y}>{sentence()}</li>" for _ in range(3)) + "</ul>", f"<blockquote{y}><p{y}>{text(1, 3)}</p></blockquote>", f"<div{y}>{text(2, 5)}</div>", f"<p{y}>{sentence()} <a href='/x'>{some(1, 4)}</a> {text(1, 3)}</p>", f"<p{y}>{sentence()} <span class='{name(pick(['advert', 'advert', 'notice', 'social', 'menu', 'form', 'comment']))}'>{some(1, 6)}</span> {text(1, 3)}</p>", f"<table{y}><tr{y}><td{y}>{some(1, 3)}</td><td{y}>{some(1, 5)}</td></tr></table>", f"<pre{y}>{some(3, 12)}</pre>", f"<figure{y}><img src='x'><figcaption{y}>{sentence()}</figcaption></figure>"]))
             if rng.random() < 0.15:
                 body.append(noise(pick(["advert", "social", "notice", "form", "sidebar", "menu"])))
         head = pick([f"<h1{y}>{some(2, 9)}</h1>"] * 4 + [""])
@@ -261,8 +383,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.6:
             after.append(noise("footer"))
         html = f"<html><head><title>{some(2, 6)}</title><style>p{{}}</style></head><body>{''.join(before)}{core}{''.join(after)}</body></html>"
-        labels = [0] + [int(_MARK in (m[3] or "")) for m in _TOKEN.finditer(html) if m[2] and m[0][1] != "/" and m[2].lower() not in INLINE | VOID | {"html", "head"}]
-        out.append((html.replace(y, ""), labels))
+        labels = Page(html).marks
+        out.append((html if marked else html.replace(y, ""), labels))
     return out
 
 
@@ -287,17 +409,18 @@ def train(rounds: int = 250, rate: float = 0.05, decay: float = 1e-3) -> tuple[n
     return theta[:-5], float(theta[-5]), theta[-4:].reshape(2, 2)
 
 
+def joined(page: Page, keep: list[bool]) -> str:
+    """The text of the nodes that are kept, in page order."""
+    text = "".join(t if keep[k] else "" if page.tags[k] in INLINE else " " for k, t, _ in page.pieces)
+    return _SPACE.sub(" ", unescape(text)).strip()
+
+
 def main_texts(htmls: list[str], model) -> list[str]:
     w, b, pair = model
     pages = [Page(h) for h in htmls]
     f = Forest(pages)
     p, _ = sum_product(f, f.x @ w + b, pair)
-    out = []
-    for page, a in zip(pages, f.first):
-        keep = (p[a : a + len(page.tags)] > 0.5).tolist()
-        text = "".join(t if keep[k] else " " for k, t, _ in page.pieces)
-        out.append(_SPACE.sub(" ", unescape(text)).strip())
-    return out
+    return [joined(page, (p[a : a + len(page.tags)] > 0.5).tolist()) for page, a in zip(pages, f.first)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
