@@ -9,8 +9,10 @@ each `merge` partitions is padded.
 
 The ids equal those of the `tokenizers` file of the same vocabulary: they are made from its rank
 form with `tiktoken`, which is several times faster; texts that spell a special token go through
-`tokenizers` itself. Null and empty texts are one end-of-document id. Repeated rows are packed each.
-An empty table gives an empty result.
+`tokenizers` itself. Null and empty texts are one end-of-document id. Very long texts are encoded whole
+and cut into windows. Repeated rows are packed each, rows without doc_id too. Of windows with equally
+little room the first opened takes the piece. Columns besides doc_id and text are not read, those of
+the result may clash with them. An empty table gives an empty result.
 """
 
 from __future__ import annotations

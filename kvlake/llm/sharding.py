@@ -2,14 +2,17 @@
 
 The law is `bytes`: shard sizes are near equal. Documents with equal texts form a group that stays
 together, unless it alone outweighs a shard's fair part; such a group is cut into pieces of a
-quarter of that part. Units (groups or pieces) are dealt by hash over bounded buckets. In a bucket,
+sixteenth of that part. Units (groups or pieces) are dealt by hash over bounded buckets. In a bucket,
 each unit is a partial partition; the two with the largest spread are combined, the one's largest
 slot with the other's smallest, until one is left. Buckets' partial partitions are combined in the
 same way, level by level, and at last with the units of one bucket that was kept back; so no task
 sees more than a bucket and the driver sees counts alone.
 
-Null texts weigh 16 bytes and form one group; empty texts another. Repeated rows are kept and
-each gets its own slot. An empty table gives an empty result.
+Null texts weigh 16 bytes and form one group; empty texts another. Very long texts are units like any
+other. Repeated rows are kept and each gets its own slot; pieces of a heavy group are dealt by row, so
+that rows of one doc_id are split as well. Units of equal size are taken in the order of their hash.
+Columns besides doc_id and text are not read, those of the result may clash with them. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,7 +95,7 @@ def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str =
         F.xxhash64(text, text.isNull()).alias("g1"),
         F.xxhash64(F.lit(77), text, F.length(text)).alias("g2"),
     )
-    slim = scratch.write(slim, "slim")
+    slim = scratch.write(slim.withColumn("row", F.monotonically_increasing_id()), "slim")
     groups = slim.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     groups = scratch.write(groups, "groups")
     total = groups.agg(F.sum("bytes"), F.count("*")).first()
@@ -100,8 +103,8 @@ def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str =
     buckets = max(1, -(-total[1] // bucket_units))
 
     # Groups heavier than a shard's fair part: fewer than k, so they can be broadcast.
-    heavy = groups.where(F.col("bytes") > fair).select("g1", "g2", F.ceil(F.col("bytes") * 4 / F.lit(fair)).cast("int").alias("pieces"))
-    rows = slim.join(F.broadcast(heavy), ["g1", "g2"], "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces"))).otherwise(0).cast("int"))
+    heavy = groups.where(F.col("bytes") > fair).select("g1", "g2", F.ceil(F.col("bytes") * 16 / F.lit(fair)).cast("int").alias("pieces"))
+    rows = slim.join(F.broadcast(heavy), ["g1", "g2"], "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("row", F.lit(5)), F.col("pieces"))).otherwise(0).cast("int"))
     light_units = groups.where(F.col("bytes") <= fair).select("g1", "g2", F.lit(0).alias("piece"), "n", "bytes")
     heavy_units = rows.where("pieces is not null").groupBy("g1", "g2", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     # Units heavier than a bucket's fair part of a shard would unbalance it, and stand by themselves.
@@ -152,13 +155,13 @@ def shard(docs: DataFrame, k: int = 40, id_col: str = "doc_id", text_col: str =
     # A slot is the rank within a block of bounded rows plus what the shard's earlier blocks hold.
     unit_of = dealt.join(place, ["b", "s"]).select("g1", "g2", "piece", "b", "blocks", "shard")
     unit_of = unit_of.unionByName(units.where("b = 0").join(final.where("unit").select("g1", "g2", "piece", "shard"), ["g1", "g2", "piece"]).select(*unit_of.columns))
-    placed = rows.select("id", "size", "text_crc32", "g1", "g2", "piece").join(unit_of, ["g1", "g2", "piece"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")).select("id", "size", "text_crc32", "shard", "b", "block")
+    placed = rows.select("id", "row", "size", "text_crc32", "g1", "g2", "piece").join(unit_of, ["g1", "g2", "piece"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("row", F.lit(9)), F.col("blocks")).cast("int")).select("id", "row", "size", "text_crc32", "shard", "b", "block")
     placed = scratch.write(placed, "placed")
     counts = placed.groupBy("shard", "b", "block").count()
     before = Window.partitionBy("shard").orderBy("b", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "b", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "b", "block").orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy("shard", "b", "block").orderBy("id", "row"))
     return placed.withColumn("rank", rank).join(offsets, ["shard", "b", "block"]).select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
