@@ -62,8 +62,3 @@ def compact(kv: DataFrame, keep: int = S.VERSIONS_TO_KEEP, now: int = 0, deeper:
         return retain(kv, keep, now, deeper).where("kept").drop("kept")
     newer = kv.where(F.col("version") > min_active_ts).withColumn("stale", F.lit(False))
     return newer.unionByName(retain(kv.where(F.col("version") <= min_active_ts), keep, now, deeper).where("kept").drop("kept"))
-
-
-def discard_stats(retained: DataFrame, file_col: str, size: str) -> DataFrame:
-    """Bytes dropped from each file."""
-    return retained.where("not kept").groupBy(file_col).agg(F.sum(size).cast("long").alias("discarded"), F.count("*").alias("rows_dropped"))

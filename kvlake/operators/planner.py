@@ -16,16 +16,6 @@ def level_targets(levels: DataFrame, max_level: int, base: int, multiplier: int)
     return levels.crossJoin(F.broadcast(last)).select("level", "size", F.greatest(F.floor(F.col("deepest") / power), F.lit(base)).cast("long").alias("target"))
 
 
-def priorities(levels: DataFrame, max_level: int, base: int, multiplier: int, l0_tables: int) -> DataFrame:
-    """Levels to compact, most urgent first: score = size / target (level 0: tables / allowed), adjusted by the next."""
-    t = level_targets(levels, max_level, base, multiplier).join(levels.select("level", "tables"), "level")
-    score = F.when(F.col("level") == 0, F.col("tables") / l0_tables).otherwise(F.col("size") / F.col("target"))
-    t = t.withColumn("score", score).where(F.col("level") < max_level)
-    following = F.lead("score").over(Window.orderBy("level"))
-    adjusted = F.when(following >= 1, F.col("score") / following).otherwise(F.col("score"))
-    return t.withColumn("adjusted", adjusted).where("score >= 1.0").select("level", "size", "target", F.round("score", 6).alias("score"), F.round("adjusted", 6).alias("adjusted"))
-
-
 def l0_chain(tables: DataFrame) -> DataFrame:
     """Level-0 tables in order of id up to the first that doesn't meet the range of those before it."""
     w = Window.orderBy("table_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kvlake import schema as S
 from kvlake.functions import exprs as X
+from kvlake.functions.running import adjacent
 
 
 def _rest(df: DataFrame) -> list[str]:
@@ -35,6 +36,11 @@ def get(kv: DataFrame, keys: list[str], read_ts: int | None, now: int) -> DataFr
     return snapshot(kv.where(F.col("key").isin(keys)), read_ts, now)
 
 
+def get_many(kv: DataFrame, keys: DataFrame, read_ts: int | None, now: int) -> DataFrame:
+    """Point reads of a table of keys: a left-semi join, which AQE broadcasts where the keys are few."""
+    return snapshot(kv.join(keys.select("key").distinct(), "key", "left_semi"), read_ts, now)
+
+
 def history(kv: DataFrame, n: int) -> DataFrame:
     """The n newest versions of each key; the rank limit is applied before the shuffle."""
     w = Window.partitionBy("key").orderBy(F.col("version").desc())
@@ -102,8 +108,8 @@ def seek(kv: DataFrame, probes: DataFrame, prefix_chars: int) -> DataFrame:
     asked = probes.select("probe_id", "probe", head("probe").alias("p"))
     inside = asked.join(keys, "p", "left").where("key is null or key >= probe").groupBy("probe_id").agg(F.min("key").alias("near"))
     marks = firsts.select("p", "first").unionByName(asked.select("p").distinct().select("p", F.lit(None).cast("string").alias("first"))).groupBy("p").agg(F.min("first").alias("first"))
-    later = Window.orderBy("p").rowsBetween(1, Window.unboundedFollowing)
-    following = marks.select("p", F.min("first").over(later).alias("following"))
+    marks = marks.select("p", F.col("first").alias("_first"), F.col("first").alias("_last"))
+    following = adjacent(marks, "p", F.substring("p", 1, max(1, prefix_chars - 2))).select("p", F.col("_after").alias("following"))
     return asked.join(inside, "probe_id", "left").join(following, "p").select("probe_id", "probe", F.coalesce("near", "following").alias("found"))
 
 

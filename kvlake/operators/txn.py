@@ -29,11 +29,11 @@ def watermark(marks: DataFrame, initial: int = 0) -> DataFrame:
     return done.agg(F.coalesce(F.max("ts"), F.lit(initial)).cast("long").alias("done_until"))
 
 
-def replay(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
-    """Rows of the log that a recovery keeps. kind: T (in a transaction), F (its end), P (plain).
+def _whole_groups(log: DataFrame, bucket_rows: int) -> DataFrame:
+    """The log's rows before its first broken group.
 
-    Markers and plain rows end groups. A group is whole if it is a lone plain row, or rows of one ts
-    with their marker last. From the first broken group on everything is dropped.
+    kind: T (in a transaction), F (its end), P (plain). Markers and plain rows end groups. A group is
+    whole if it is a lone plain row, or rows of one ts with their marker last.
     """
     ends = F.when(F.col("kind").isin("F", "P"), 1).otherwise(0)
     grouped = running_sum(log, ends, F.floor(F.col("seq") / bucket_rows).cast("long"), ["seq"], "g")
@@ -41,7 +41,17 @@ def replay(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     plain = (F.col("p") == 1) & (F.col("n") == 1)
     whole = (F.col("f") == 1) & (F.col("p") == 0) & (F.col("n") > 1) & (F.col("lo") == F.col("hi"))
     broken = per.where(~(plain | whole)).agg(F.min("g").alias("broken"))
-    return grouped.where(F.col("kind") != "F").crossJoin(F.broadcast(broken)).where("broken is null or g < broken").drop("g", "broken")
+    return grouped.crossJoin(F.broadcast(broken)).where("broken is null or g < broken").drop("g", "broken")
+
+
+def replay(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
+    """Rows of the log that a recovery keeps: from the first broken group on everything is dropped."""
+    return _whole_groups(log, bucket_rows).where(F.col("kind") != "F")
+
+
+def valid_end(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
+    """seq of the last row that a recovery keeps, -1 where there is none: the log is cut after it."""
+    return _whole_groups(log, bucket_rows).agg(F.coalesce(F.max("seq"), F.lit(-1)).cast("long").alias("valid_end"))
 
 
 def validate(writes: DataFrame, max_value: int) -> DataFrame:

@@ -24,14 +24,23 @@ def split(kv: DataFrame, threshold: int, file_rows: int = 1000) -> tuple[DataFra
     inline = kv.where(~F.coalesce(big, F.lit(False))).withColumn("pointer", F.lit(None).cast("struct<fid:bigint,size:bigint,offset:bigint>"))
     rest = [c for c in kv.columns if c not in ("key", "version", "value", "meta")]
     pointed = log.select("key", "version", *rest, F.lit(None).cast("string").alias("value"), X.with_flag(S.VALUE_POINTER).alias("meta")).join(pointer, ["key", "version"])
-    return inline.unionByName(pointed.select(*inline.columns)), log.select("fid", "offset", "size", "key", "version", "value")
+    return inline.unionByName(pointed.select(*inline.columns)), log.select("fid", "offset", "size", "key", "version", "value", F.crc32(F.col("value").cast("binary")).alias("crc"))
 
 
 def deref(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows with their values back in place; a pointer to nothing leaves a null and `missing`."""
-    log = log.select(F.col("fid").alias("_fid"), F.col("offset").alias("_offset"), F.col("value").alias("_value"))
+    """Rows with their values back in place. `missing`: the pointer leads to nothing, the value is null; `damaged`: the log's
+    value hasn't the CRC-32 that was stored with it."""
+    log = log.select(F.col("fid").alias("_fid"), F.col("offset").alias("_offset"), F.col("value").alias("_value"), F.col("crc").alias("_crc"))
     out = rows.join(log, (F.col("pointer.fid") == F.col("_fid")) & (F.col("pointer.offset") == F.col("_offset")), "left")
-    return out.withColumn("missing", F.col("pointer").isNotNull() & F.col("_fid").isNull()).withColumn("value", F.coalesce("value", "_value")).drop("_fid", "_offset", "_value")
+    out = out.withColumn("missing", F.col("pointer").isNotNull() & F.col("_fid").isNull())
+    out = out.withColumn("damaged", F.coalesce(~F.crc32(F.col("_value").cast("binary")).eqNullSafe(F.col("_crc")) & F.col("_fid").isNotNull(), F.lit(False)))
+    return out.withColumn("value", F.coalesce("value", "_value")).drop("_fid", "_offset", "_value", "_crc")
+
+
+def discard_stats(retained: DataFrame) -> DataFrame:
+    """Bytes of each log file whose pointers were dropped (rows of `split` after `merge.retain`)."""
+    gone = retained.where("not kept and pointer is not null")
+    return gone.groupBy("pointer.fid").agg(F.sum("pointer.size").cast("long").alias("discarded"), F.count("*").alias("pointers_dropped"))
 
 
 def size_histogram(kv: DataFrame) -> DataFrame:

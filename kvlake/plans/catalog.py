@@ -14,7 +14,9 @@ from kvlake.sources.scratch import shared_folder
 from kvlake.sources.store import Store
 from kvlake.streaming import stream
 
-NOW, TS = V.NOW, 5000
+NOW = V.NOW
+#: The read timestamp of snapshot queries: half of all versions.
+TS = "(select max(version)//2 from kv)"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,6 +42,16 @@ def query(sql: str | None):
     return add
 
 
+def _ts(kv) -> int:
+    """Half of the newest version."""
+    return (kv.agg(F.max("version")).first()[0] or 0) // 2
+
+
+def _snapshot(spark, sf):
+    kv = V.events(spark, sf)
+    return reads.snapshot(kv, _ts(kv), NOW).select("key", "version", "value")
+
+
 def _runs(spark, sf):
     """Manifest of runs over orders: level 0 is scattered, deeper levels are narrow."""
     kv = V.orders(spark, sf)
@@ -60,12 +72,12 @@ def kv_latest(spark, sf):
 
 @query(f"{_E} {_SNAP}")
 def kv_snapshot_get(spark, sf):
-    return reads.snapshot(V.events(spark, sf), TS, NOW).select("key", "version", "value")
+    return _snapshot(spark, sf)
 
 
-@query(f"{_E}, probes as (select event_id as probe_id, 'u'||lpad(cast(user_id as varchar),8,'0') as key, event_id//2 as read_ts from events where event_id%3=0) select probe_id, p.key, p.read_ts, k.version, k.value from probes p left join kv k on k.key=p.key and k.version<=p.read_ts qualify row_number() over (partition by probe_id order by k.version desc) = 1")
+@query(f"{_E}, probes as (select event_id as probe_id, 'u'||lpad(cast(user_id as varchar),8,'0') as key, event_id//2 as read_ts from events) select probe_id, p.key, p.read_ts, k.version, k.value from probes p left join kv k on k.key=p.key and k.version<=p.read_ts qualify row_number() over (partition by probe_id order by k.version desc) = 1")
 def kv_multi_get_asof(spark, sf):
-    probes = V.table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("probe_id"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"), F.expr("event_id div 2").alias("read_ts"))
+    probes = V.table(spark, sf, "events").select(F.col("event_id").alias("probe_id"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"), F.expr("event_id div 2").alias("read_ts"))
     return reads.multi_get(V.events(spark, sf).select("key", "version", "value"), probes, 4096)
 
 
@@ -76,17 +88,18 @@ def kv_history_topn(spark, sf):
 
 @query(f"{_O} select key, version, value from kv where key between 'c00000100' and 'c00000400' qualify row_number() over (partition by key order by version desc) = 1")
 def kv_range_scan(spark, sf):
-    return reads.scan(V.orders(spark, sf), None, NOW, "c00000100", "c00000400").select("key", "version", "value")
+    return reads.scan(V.orders(spark, sf, "o_custkey between 100 and 400"), None, NOW, "c00000100", "c00000400").select("key", "version", "value")
 
 
 @query(f"with kv as ({V.DOCUMENTS_SQL}) select key, version, md5(value) as digest from kv where starts_with(key,'src1/')")
 def kv_prefix_scan(spark, sf):
-    return reads.snapshot(reads.with_prefix(V.documents(spark, sf), "src1/"), None, NOW).select("key", "version", F.md5("value").alias("digest"))
+    return reads.snapshot(reads.with_prefix(V.documents(spark, sf, "source = 'src1'"), "src1/"), None, NOW).select("key", "version", F.md5("value").alias("digest"))
 
 
 @query(f"{_E} {_SNAP} order by key desc limit 20")
 def kv_reverse_scan_limit(spark, sf):
-    return reads.scan(V.events(spark, sf), TS, NOW, reverse=True, limit=20).select("key", "version", "value")
+    kv = V.events(spark, sf)
+    return reads.scan(kv, _ts(kv), NOW, reverse=True, limit=20).select("key", "version", "value")
 
 
 @query(f"{_O} select c_custkey as probe_id, 'c'||lpad(cast(c_custkey as varchar),8,'0') as probe, (select min(key) from kv where key >= 'c'||lpad(cast(c_custkey as varchar),8,'0')) as found from customer")
@@ -97,7 +110,7 @@ def kv_seek_lower_bound(spark, sf):
 
 @query(f"{_O} select key, lag(key) over (order by key) as prev_key, lead(key) over (order by key) as next_key from (select distinct key from kv)")
 def kv_prev_next(spark, sf):
-    return neighbours(V.orders(spark, sf), "key", F.substring("key", 1, 7))
+    return neighbours(V.orders(spark, sf), "key", F.substring("key", 1, 7), F.substring("_bucket", 1, 5))
 
 
 @query(f"{_E} select key, count(*) as versions, count(*) filter (where (meta & 1) <> 0) as tombstones, count(*) filter (where (meta & 4) <> 0) as discards, count(*) filter (where (meta & 8) <> 0) as merges from kv group by key")
@@ -113,14 +126,15 @@ def kv_ttl_live(spark, sf):
 
 # ---------------------------------------------------------------- merge and compaction
 
-_RUN_SQL = "select key, version, value, 0 as src_rank from kv where sst <= 6 union all select key, version, 'old:'||value, 1 from kv where sst between 4 and 9"
+# All runs are dealt to two sides by their number; every third stands in both.
+_RUN_SQL = "select key, version, value, 0 as src_rank from kv where sst % 3 <> 2 union all select key, version, 'old:'||value, 1 from kv where sst % 3 <> 0"
 
 
 @query(f"{_E} select key, version, value, src_rank from ({_RUN_SQL}) qualify row_number() over (partition by key, version order by src_rank) = 1")
 def kv_merge_runs(spark, sf):
     kv = V.events(spark, sf).select("key", "version", "value", "sst")
-    new = kv.where("sst <= 6").drop("sst")
-    old = kv.where("sst between 4 and 9").select("key", "version", F.concat(F.lit("old:"), "value").alias("value"))
+    new = kv.where("sst % 3 <> 2").drop("sst")
+    old = kv.where("sst % 3 <> 0").select("key", "version", F.concat(F.lit("old:"), "value").alias("value"))
     return merge.merge_runs([new, old])
 
 
@@ -131,10 +145,10 @@ def kv_merge_lineitem_dups(spark, sf):
     return one.select("l_orderkey", "l_linenumber", *[F.col(f"r.{c}").alias(c) for c in cols[:4]])
 
 
-@query(f"{_E} select key, version from kv where sst <= 3 union all select key, version from kv where sst between 5 and 7")
+@query(f"{_E} select key, version from kv where sst % 2 = 0 union all select key, version from kv where sst % 2 = 1")
 def kv_concat_scan(spark, sf):
     kv = V.events(spark, sf).select("key", "version", "sst")
-    return merge.concat_runs([kv.where("sst <= 3"), kv.where("sst between 5 and 7")]).select("key", "version")
+    return merge.concat_runs([kv.where("sst % 2 = 0"), kv.where("sst % 2 = 1")]).select("key", "version")
 
 
 def _retain_sql(keep: int, deeper: bool) -> str:
@@ -166,10 +180,11 @@ def kv_drop_prefix(spark, sf):
     return reads.without_prefixes(V.events(spark, sf), ["u0000000", "u0000001"]).select("key", "version")
 
 
-@query(f"{_retain_sql(1, False)} select sst as fid, cast(sum(strlen(value)) as bigint) as discarded, count(*) as rows_dropped from r where not kept group by sst")
+@query(f"{_retain_sql(1, False)} select version//1000 as fid, cast(sum(strlen(key)+8+strlen(value)+10) as bigint) as discarded, count(*) as pointers_dropped from r where not kept and strlen(value) >= 9 group by 1")
 def kv_discard_stats(spark, sf):
-    kept = merge.retain(V.events(spark, sf).withColumn("vsize", F.octet_length("value")), 1, NOW, False)
-    return merge.discard_stats(kept.withColumnRenamed("sst", "fid"), "fid", "vsize")
+    """Bytes of each value-log file that compaction leaves without a pointer: values of 9 bytes or more are in the log."""
+    rows, _ = valuelog.split(V.events(spark, sf), 9)
+    return valuelog.discard_stats(merge.retain(rows, 1, NOW, False))
 
 
 @query(f"{_retain_sql(1, True)} select level, cast(sum(strlen(key)+8+strlen(value)+4) as bigint) as stale_bytes, count(*) as n from r where kept and stale group by level")
@@ -269,11 +284,6 @@ def kv_level_targets(spark, sf):
     return planner.level_targets(M.level_stats(M.table_stats(V.events(spark, sf))), 3, 1000, 10)
 
 
-@query(f"{_E}, {_TABLES}, l as (select level, count(*) as tables, cast(sum(size) as bigint) as size from tables group by level), t as (select level, tables, size, cast(greatest(floor((select coalesce(max(size),0) from l where level=3)/pow(10.0,3-level)),1000) as bigint) as target from l), s as (select *, case when level=0 then tables/2.0 else size/target end as score from t where level < 3), a as (select *, case when lead(score) over (order by level) >= 1 then score/lead(score) over (order by level) else score end as adjusted from s) select level, size, target, round(score,6) as score, round(adjusted,6) as adjusted from a where score >= 1")
-def kv_level_priorities(spark, sf):
-    return planner.priorities(M.level_stats(M.table_stats(V.events(spark, sf))), 3, 1000, 10, 2)
-
-
 @query(f"{_O}, {_RUNS} select level, min(lo) as lo, max(hi) as hi, count(*) as tables from tables group by level")
 def kv_range_envelope(spark, sf):
     return M.envelope(_runs(spark, sf), "level")
@@ -337,14 +347,14 @@ def kv_table_key_lookup(spark, sf):
 
 # ---------------------------------------------------------------- transactions
 
-_READS = "reads as (select event_id//5 as txn, (event_id//5)*5 as read_ts, 'u'||lpad(cast(user_id as varchar),8,'0') as key from events where event_type='view'), commits as (select event_id as commit_ts, 'u'||lpad(cast(user_id as varchar),8,'0') as key from events where event_type='purchase' and event_id%20=0)"
+_READS = "reads as (select event_id//5 as txn, (event_id//5)*5 as read_ts, 'u'||lpad(cast(user_id as varchar),8,'0') as key from events where event_type='view'), commits as (select event_id as commit_ts, 'u'||lpad(cast(user_id as varchar),8,'0') as key from events where event_type='purchase')"
 
 
 def _reads(spark, sf):
     e = V.table(spark, sf, "events")
     key = F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key")
     r = e.where("event_type = 'view'").select(F.expr("event_id div 5").alias("txn"), (F.expr("event_id div 5") * 5).alias("read_ts"), key)
-    return r, e.where("event_type = 'purchase' and event_id % 20 = 0").select(F.col("event_id").alias("commit_ts"), key)
+    return r, e.where("event_type = 'purchase'").select(F.col("event_id").alias("commit_ts"), key)
 
 
 @query(f"with {_READS} select distinct txn from reads r where exists (select 1 from commits c where c.key=r.key and c.commit_ts > r.read_ts)")
@@ -352,19 +362,21 @@ def txn_conflicts(spark, sf):
     return txn.conflicts(*_reads(spark, sf))
 
 
-@query(f"with {_READS} select commit_ts, key from commits where commit_ts > 4000")
+@query(f"with {_READS} select commit_ts, key from commits where commit_ts > (select max(commit_ts)//2 from commits)")
 def txn_committed_prune(spark, sf):
-    return txn.prune_commits(_reads(spark, sf)[1], 4000)
+    commits = _reads(spark, sf)[1]
+    return txn.prune_commits(commits, (commits.agg(F.max("commit_ts")).first()[0] or 0) // 2)
 
 
-_MARKS = "marks as (select event_id//2 as ts, -1 as d from events where event_id%2=0 union all select event_id//2, 1 from events where event_id%2=1 and not (event_id > 4000 and event_id%37=1))"
+_MARKS = "marks as (select event_id//2 as ts, -1 as d from events where event_id%2=0 union all select event_id//2, 1 from events where event_id%2=1 and not (event_id > (select max(event_id)//2 from events) and event_id%37=1))"
 _DONE = "(select coalesce(max(ts) filter (where ts < coalesce((select min(ts) from g where s<0), 9223372036854775807)),0) from g)"
 
 
 def _marks(spark, sf):
     e = V.table(spark, sf, "events").select("event_id", F.expr("event_id div 2").alias("ts"))
+    half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
     begun = e.where("event_id % 2 = 0").select("ts", F.lit(-1).alias("d"))
-    return begun.unionByName(e.where("event_id % 2 = 1 and not (event_id > 4000 and event_id % 37 = 1)").select("ts", F.lit(1).alias("d")))
+    return begun.unionByName(e.where(f"event_id % 2 = 1 and not (event_id > {half} and event_id % 37 = 1)").select("ts", F.lit(1).alias("d")))
 
 
 @query(f"with {_MARKS}, g as (select ts, sum(d) as s from marks group by ts) select {_DONE} as done_until")
@@ -384,6 +396,12 @@ def txn_replay(spark, sf):
     return txn.replay(V.log(spark, sf), 2000).select("seq", "ts", "key")
 
 
+@query(f"with log as ({V.LOG_SQL}), a as (select *, coalesce(sum(case when kind in ('F','P') then 1 else 0 end) over (order by seq rows between unbounded preceding and 1 preceding),0) as g from log), b as (select g, case when count(*) filter (where kind='P')=1 and count(*)=1 then 1 when count(*) filter (where kind='F')=1 and count(*)>1 and min(ts)=max(ts) then 1 else 0 end as ok from a group by g) select coalesce(max(seq),-1) as valid_end from a where g < coalesce((select min(g) from b where ok=0),9223372036854775807)")
+def txn_valid_end(spark, sf):
+    """Where a recovery cuts the log: the last row before the first broken group."""
+    return txn.valid_end(V.log(spark, sf), 2000)
+
+
 _W = "with w as (select doc_id, case when doc_id%97=0 then '' when doc_id%89=0 then '!kv!'||source else source||'/'||lang end as key, text as value from documents)"
 
 
@@ -404,7 +422,8 @@ def _pending(spark, sf):
 
 @query(f"{_E}, {_PEND} select key, version, value from ({_SNAP}) where key not in (select key from pend) union all select key, {TS}, value from pend where (meta & 1)=0")
 def txn_read_your_writes(spark, sf):
-    return reads.read_your_writes(V.events(spark, sf), _pending(spark, sf), TS, NOW).select("key", "version", "value")
+    kv = V.events(spark, sf)
+    return reads.read_your_writes(kv, _pending(spark, sf), _ts(kv), NOW).select("key", "version", "value")
 
 
 @query(f"with {_PEND} select key, cast(777 as bigint) as version, value, cast(meta | 64 as integer) as meta from pend union all select '!kv!txn', 777, '777', 128")
@@ -451,27 +470,30 @@ def gen_kv_range(spark, sf):
     return o.select(F.lpad("n", 20, " ").alias("key"), F.col("n").alias("value"))
 
 
-@query(None)
+@query(f"with kv as ({V.DOCUMENTS_SQL}) select split_part(key,'/',1) as source, count(*) as n, count(*) as good from kv group by 1")
 def crc_audit(spark, sf):
-    """Per source, the values whose CRC-32 still holds after a round through the value log."""
-    kv = V.documents(spark, sf)
-    stored = kv.select("key", "version", F.crc32(F.col("value").cast("binary")).alias("crc"))
-    rows, log = valuelog.split(kv, 1024)
-    back = valuelog.deref(rows, log).select("key", "version", "value").join(stored, ["key", "version"])
-    return back.groupBy(F.split("key", "/")[0].alias("source")).agg(F.count("*").alias("n"), F.count_if(F.crc32(F.col("value").cast("binary")) == F.col("crc")).alias("good"))
+    """Per source, the values whose CRC-32, stored when they were written, holds after the value log is read from its files."""
+    rows, log = valuelog.split(V.documents(spark, sf), 1024)
+    path = f"{shared_folder(spark, 'valuelog')}/log"
+    log.write.parquet(path)
+    back = valuelog.deref(rows, spark.read.schema(log.schema).parquet(path))
+    return back.groupBy(F.split("key", "/")[0].alias("source")).agg(F.count("*").alias("n"), F.count_if(~F.col("missing") & ~F.col("damaged")).alias("good"))
 
 
 @query(None)
 def bloom_probe(spark, sf):
-    """Bloom filter of each run's keys (10 bits a key, 7 probes) and how many absent keys pass it."""
-    bits, k = 1 << 14, 7
+    """Bloom filter of each run's keys (10 bits a key, 7 probes); absent keys, dealt to the runs, and how many of them pass."""
+    bits, k = F.col("bits"), 7
     spots = lambda h: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (h + i.cast("long") * F.shiftright(h, 17).bitwiseOR(F.shiftleft(h, 15)).bitwiseAND(0xFFFFFFFF)) % bits)
     keys = V.events(spark, sf).select("sst", "key").distinct()
-    hashed = keys.withColumn("h", X.bloom_hash(F.col("key").cast("binary")))
-    filters = hashed.select("sst", F.explode(spots(F.col("h"))).alias("bit")).groupBy("sst").agg(F.collect_set("bit").alias("bits"), F.count("*").alias("set_calls"))
-    absent = V.table(spark, sf, "customer").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("key")).withColumn("h", X.bloom_hash(F.col("key").cast("binary")))
-    asked = absent.select(spots(F.col("h")).alias("want")).crossJoin(F.broadcast(filters.where("sst <= 8")))
-    return asked.groupBy("sst").agg(F.count("*").alias("probes"), F.count_if(F.size(F.array_except("want", "bits")) == 0).alias("passed"))
+    sizes = keys.groupBy("sst").agg(F.greatest(F.lit(64), 10 * F.count("*")).cast("long").alias("bits"))
+    hashed = keys.withColumn("h", X.bloom_hash(F.col("key").cast("binary"))).join(sizes, "sst")
+    filters = hashed.select("sst", F.explode(spots(F.col("h"))).alias("bit")).distinct()
+    runs = sizes.agg(F.max("sst").alias("runs"))
+    absent = V.table(spark, sf, "customer").crossJoin(F.broadcast(runs)).select("c_custkey", (F.col("c_custkey") % F.col("runs") + 1).alias("sst"), X.bloom_hash(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).cast("binary")).alias("h")).join(sizes, "sst")
+    asked = absent.select("c_custkey", "sst", F.explode(F.array_distinct(spots(F.col("h")))).alias("bit"))
+    met = asked.join(filters.withColumn("hit", F.lit(1)), ["sst", "bit"], "left").groupBy("sst", "c_custkey").agg((F.count("hit") == F.count("*")).alias("passed"))
+    return met.groupBy("sst").agg(F.count("*").alias("probes"), F.count_if("passed").alias("passed"))
 
 
 @query(f"with kv as ({V.CONVERSATIONS_SQL}) select key, version, true as same, length(value) as chars from kv")
@@ -492,7 +514,30 @@ def store_snapshot(spark, sf):
     kv = V.events(spark, sf).drop("level")
     for k in range(3):
         store.append(kv.where(F.col("sst") % 3 == k))
-    return reads.snapshot(store.rows(), TS, NOW).select("key", "version", "value")
+    rows = store.rows()
+    return reads.snapshot(rows, _ts(rows), NOW).select("key", "version", "value")
+
+
+@query(f"{_E} select key, version, value from ({_LATEST}) where not {_DEAD} and key in (select 'u'||lpad(cast(user_id as varchar),8,'0') from events where event_type='purchase')")
+def store_get(spark, sf):
+    """Multi-key read through the store: the live versions, at half of all versions, of the keys that were purchased."""
+    store = Store(spark, shared_folder(spark, "store"))
+    kv = V.events(spark, sf).drop("level")
+    for k in range(2):
+        store.append(kv.where(F.col("sst") % 2 == k))
+    asked = V.table(spark, sf, "events").where("event_type = 'purchase'").select(F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"))
+    rows = store.rows()
+    return reads.get_many(rows, asked, _ts(rows), NOW).select("key", "version", "value")
+
+
+@query("select 'u'||lpad(cast(max(user_id)//2 as varchar),8,'0') as key, (select count(*) from events where user_id = (select max(user_id)//2 from events)) as versions from events")
+def store_point_get(spark, sf):
+    """One key through the store: the key filter reaches the runs' files."""
+    store = Store(spark, shared_folder(spark, "store"))
+    store.append(V.events(spark, sf).drop("level"))
+    key = f"u{V.table(spark, sf, 'events').agg(F.max('user_id')).first()[0] // 2:08d}"
+    found = store.rows(key, key).where(F.col("key") == key)
+    return found.agg(F.lit(key).alias("key"), F.count("*").alias("versions"))
 
 
 @query(f"{_retain_sql(1, False)} select key, version, value from r where kept")
@@ -503,7 +548,7 @@ def store_compact(spark, sf):
     for k in range(2):
         store.append(kv.where(F.col("sst") % 2 == k))
     store.compact(1, NOW)
-    store.vacuum()
+    store.vacuum(grace=0)
     return store.rows().select("key", "version", "value")
 
 
@@ -529,3 +574,19 @@ def stream_txn_assemble(spark, sf):
     out = shared_folder(spark, "assemble")
     stream.append_to(stream.assemble(log), f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("ts", "seq", "key")
+
+
+@query(f"{_E} select key, version, value from (select * from kv qualify row_number() over (partition by key order by version desc) = 1) where not {_DEAD}")
+def stream_ttl(spark, sf):
+    """Upserts from a stream, read without the keys whose newest version is deleted or has outlived its time."""
+    out = shared_folder(spark, "ttl")
+    stream.upsert(V.as_events(stream.read_stream(spark, f"{sf}/events.parquet")), f"{out}/rows", f"{out}/state").awaitTermination()
+    return stream.upserted(spark, f"{out}/rows").where(X.is_live(NOW)).select("key", "version", "value")
+
+
+@query("with e as (select cast(floor(epoch(ts)) as bigint) as sec, event_type from events), h as (select sec//3600*3600 as start, event_type, count(*) as n from e group by 1, 2) select start, event_type, n from h where start + 3600 <= (select max(sec) from e) - 7200")
+def stream_hourly(spark, sf):
+    """Hourly counts of a stream by event time; an hour comes out when the watermark, two hours behind, has passed it."""
+    out = shared_folder(spark, "hourly")
+    stream.append_to(stream.hourly(stream.read_stream(spark, f"{sf}/events.parquet")), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.schema("start long, event_type string, n long").parquet(f"{out}/rows").select("start", "event_type", "n")

@@ -7,14 +7,25 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of a local session; a cluster has to name one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="kvlake-")
+    return _LOCAL[app]
+
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name under spark.checkpoint.dir; under a local one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="kvlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder name under the shared one."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 class Files:
@@ -32,7 +43,11 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
     def create(self, name: str, text: str) -> bool:
-        """Write a new file; False if it exists. The text is complete under its name or not there."""
+        """Write a new file; False if it exists. The text is complete under its name or not there.
+
+        Of two writers one wins where renaming onto an existing file fails, as on HDFS and local disks.
+        A store without such a rename needs a lock of its own around this.
+        """
         path = self._path(name)
         if self.fs.exists(path):
             return False
@@ -45,6 +60,11 @@ class Files:
         self.fs.delete(part, False)
         return False
 
+    def age(self, name: str) -> float:
+        """Seconds since the file or folder last changed, by the driver's clock."""
+        now = self.jvm.java.lang.System.currentTimeMillis()
+        return (now - self.fs.getFileStatus(self._path(name)).getModificationTime()) / 1000
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:

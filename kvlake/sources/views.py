@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key = user, a version an event; flags and expiry by event type; runs of 1000 events, on four levels."""
-    e = table(spark, sf_dir, "events")
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
+    """Rows of the events table, or a stream of them, as store rows."""
     kind = F.col("event_type")
     return e.select(
         F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"),
@@ -31,12 +35,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("key"), (F.col("o_orderkey") + 1).alias("version"), F.col("o_orderpriority").alias("value"), F.lit(0).cast("short").alias("user_meta"), F.lit(0).cast("short").alias("meta"), F.lit(0).cast("long").alias("expires_at"))
+def orders(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """where: a predicate on the table's own columns, which the scan gets; filters on key can't reach it."""
+    return table(spark, sf_dir, "orders").where(where).select(F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("key"), (F.col("o_orderkey") + 1).alias("version"), F.col("o_orderpriority").alias("value"), F.lit(0).cast("short").alias("user_meta"), F.lit(0).cast("short").alias("meta"), F.lit(0).cast("long").alias("expires_at"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("key"), (F.col("doc_id") + 1).alias("version"), F.col("text").alias("value"), F.lit(0).cast("short").alias("user_meta"), F.lit(0).cast("short").alias("meta"), F.lit(0).cast("long").alias("expires_at"))
+def documents(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return table(spark, sf_dir, "documents").where(where).select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("key"), (F.col("doc_id") + 1).alias("version"), F.col("text").alias("value"), F.lit(0).cast("short").alias("user_meta"), F.lit(0).cast("short").alias("meta"), F.lit(0).cast("long").alias("expires_at"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

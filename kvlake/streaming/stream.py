@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kvlake.functions import exprs as X
 from kvlake.operators import reads
 
 
@@ -39,18 +40,18 @@ def assemble(log: DataFrame) -> DataFrame:
     """Rows of transactions whose end marker has come: state holds a transaction's rows until then."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, keys, ended = state.get if state.exists else ([], [], False)
+        (seqs, keys), ended = state.get if state.exists else ([], []), False
         for pdf in batches:
             rows = pdf[pdf["kind"] == "T"]
             seqs, keys = [*seqs, *rows["seq"].tolist()], [*keys, *rows["key"].tolist()]
             ended = ended or bool((pdf["kind"] == "F").any())
         if ended:
-            state.update(([], [], True))
+            state.remove()  # a transaction takes no rows after its end
             yield pd.DataFrame({"ts": [key[0]] * len(seqs), "seq": seqs, "key": keys}).astype({"ts": "int64", "seq": "int64"})
         else:
-            state.update((seqs, keys, False))
+            state.update((seqs, keys))
 
-    return log.groupBy("ts").applyInPandasWithState(step, "ts long, seq long, key string", "seqs array<long>, keys array<string>, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy("ts").applyInPandasWithState(step, "ts long, seq long, key string", "seqs array<long>, keys array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_to(df: DataFrame, out: str, checkpoint: str):
@@ -61,6 +62,6 @@ def append_to(df: DataFrame, out: str, checkpoint: str):
 
 
 def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Counts by hour and type; rows later than the watermark are dropped."""
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    """Counts by hour (epoch seconds of its start) and type; rows later than the watermark are dropped."""
+    timed = stream.withColumn("at", F.timestamp_seconds(X.epoch_seconds("ts"))).withWatermark("at", late)
+    return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("long").alias("start"), "event_type", "n")

@@ -85,7 +85,7 @@ def test_seek_and_neighbours(spark):
     got = {r["probe_id"]: r["found"] for r in reads.seek(kv, spark.createDataFrame(asked, "probe_id long, probe string"), 4).collect()}
     for i, p in asked:
         assert got[i] == min((k for k in keys if k >= p), default=None)
-    near = {r["key"]: (r["prev_key"], r["next_key"]) for r in neighbours(kv, "key", F.substring("key", 1, 4)).collect()}
+    near = {r["key"]: (r["prev_key"], r["next_key"]) for r in neighbours(kv, "key", F.substring("key", 1, 4), F.substring("_bucket", 1, 3)).collect()}
     for i, k in enumerate(keys):
         assert near[k] == (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None)
 
@@ -119,6 +119,9 @@ def test_value_separation_round_trip(spark):
         assert not any(r["missing"] for r in back)
     rows, log = valuelog.split(kv, 20, 9)
     assert any(r["missing"] for r in valuelog.deref(rows, log.limit(0)).collect())
+    spoilt = log.withColumn("value", F.when(F.col("key") == "k30", F.concat("value", F.lit("y"))).otherwise(F.col("value")))
+    assert {r["key"] for r in valuelog.deref(rows, spoilt).where("damaged").collect()} == {"k30"}
+    assert not valuelog.deref(rows, log).where("damaged").count()
 
 
 def test_percentiles(spark):
@@ -198,7 +201,7 @@ def test_store_round_trip(spark):
     assert all(r["good"] for r in store.verify().collect())
     store.compact(10**9, model.NOW)
     assert len(store.runs()) == 1
-    assert len(store.vacuum()) == 3
+    assert store.vacuum() == [] and len(store.vacuum(grace=0)) == 3
     assert {k: v[1] for k, v in got().items()} == {k: v[1] for k, v in model.snapshot(rs, 10**6).items()}
 
 
@@ -226,3 +229,62 @@ def test_transactions(spark):
             t.set(bad, "v")
     with pytest.raises(PermissionError):
         Store(spark, store.root, read_only=True).append(frame(spark, model.rows(1, 3)))
+
+
+def test_of_two_compactions_one_fails_and_the_store_lives(spark):
+    store = Store(spark, shared_folder(spark, "t"))
+    rs = model.rows(41, 60)
+    for k in range(2):
+        store.append(frame(spark, rs[k::2]))
+    old = [r["run"] for r in store.runs()]
+    store.compact(10**9, model.NOW)
+    with pytest.raises(Conflict):
+        store._commit([], old)  # what a second compaction of the same runs would commit
+    assert len(store.runs()) == 1
+    assert {r["key"] for r in reads.snapshot(store.rows(), None, model.NOW).collect()} == set(model.snapshot(rs, 10**6))
+
+
+def test_a_reader_keeps_its_snapshot_across_compaction_and_vacuum(spark):
+    store = Store(spark, shared_folder(spark, "t"))
+    with store.begin() as t:
+        t.set("a", "old")
+        t.commit()
+    reader = store.begin()
+    with store.begin() as t:
+        t.set("a", "new")
+        t.commit()
+    store.compact(1, 0)
+    assert store.vacuum(grace=0) and reader.get("a") == "old"  # the run of "new" goes, the reader's stays
+    reader.set("b", "x")
+    with pytest.raises(Conflict):
+        reader.commit()
+    reader.close()
+    assert len(store.vacuum(grace=0)) == 1 and store.begin().get("a") == "new"
+
+
+def test_vacuum_spares_runs_that_are_being_written(spark):
+    store = Store(spark, shared_folder(spark, "t"))
+    run = store._write_run(frame(spark, model.rows(3, 10)).select(*S.KV_COLUMNS), 0)
+    assert store.vacuum() == []
+    store._commit([run], [])
+    assert store.rows().count() == 10
+    orphan = store._write_run(frame(spark, model.rows(4, 5)).select(*S.KV_COLUMNS), 0)
+    assert store.vacuum(grace=0) == [orphan["run"]]
+
+
+def test_the_log_is_folded_and_old_states_stay_readable(spark):
+    store = Store(spark, shared_folder(spark, "t"))
+    runs = [{"run": f"r{i}", "level": 0, "lo": "a", "hi": "b", "max_version": i + 1, "key_count": 1} for i in range(40)]
+    for i, r in enumerate(runs):
+        store._commit([r], [f"r{i - 3}"] if i >= 3 else [])
+    assert store._numbers("fold") == [16, 32] and store.last() == 40
+    for at in (1, 15, 16, 17, 31, 32, 33, 40):
+        assert {r["run"] for r in store.runs(at)} == {f"r{i}" for i in range(max(0, at - 3), at)}
+        assert store.state(at)["max_version"] == at
+
+
+def test_replay_and_its_end_agree(spark):
+    rows = [(i, x[0], int(x[1:])) for i, x in enumerate("P1 T2 F2 T3 F4 P5".split())]
+    log = spark.createDataFrame(rows, "seq long, kind string, ts long")
+    assert sorted(r["seq"] for r in txn.replay(log, 2).collect()) == [0, 1] and txn.valid_end(log, 2).first()[0] == 2
+    assert txn.valid_end(log.where("seq = 3"), 2).first()[0] == -1
