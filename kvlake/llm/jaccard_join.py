@@ -518,12 +518,11 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block
     Documents go to blocks by the smallest id within two steps of partners, up to about `block` in each,
     and pairs to pairs of blocks, so that a set is sent once for all its pairs there, however many.
     """
-    pairs = scratch.write(pairs, f"{name}_pairs")
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    near = scratch.write(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("near")), f"{name}_near")
+    near = ends.groupBy("x").agg(F.least("x", F.min("y")).alias("near"))
     labels = ends.join(near.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("near").alias("far")).join(near, "x").select("x", F.least("near", "far").alias("label"))
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    keys = scratch.write(labels.join(sizes, "label").select("x", F.xxhash64("label", F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("key")), f"{name}_keys")
+    keys = labels.join(sizes, "label").select("x", F.xxhash64("label", F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("key"))
     of = lambda c: keys.select(F.col("x").alias(c), F.col("key").alias(f"of_{c}"))
     dealt = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.xxhash64(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).alias("place"))
     dealt = scratch.write(dealt, f"{name}_dealt")
@@ -568,7 +567,7 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, block
     rows = sets.unionByName(dealt.select("place", "a", "b", F.lit(None).cast("binary").alias("elements")))
     out = rows.repartition("place").sortWithinPartitions("place", F.col("elements").isNull()).mapInArrow(compare, "a long, b long")
     out = scratch.write(out, f"{name}_links")
-    for done in ("pairs", "near", "keys", "dealt", "wanted"):
+    for done in ("dealt", "wanted"):
         scratch.drop(f"{name}_{done}")
     return out
 
