@@ -541,7 +541,7 @@ def _handed(docs: DataFrame):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_sha256, spans, n_added for every row of docs."""
+    """doc_id, base counts, base_sha256, spans, n_added (by the tagger), n_spans (all) for every row of docs."""
     model = _handed(docs)
     nothing = hashlib.sha256(b"").hexdigest()
 
@@ -549,17 +549,17 @@ def find(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in small_slices(batch):
                 n = part.num_rows
-                counts, sha, spans, extra = np.zeros((4, n), np.int64), [nothing] * n, [""] * n, np.zeros(n, np.int64)
+                counts, sha, spans, extra, total = np.zeros((4, n), np.int64), [nothing] * n, [""] * n, np.zeros(n, np.int64), np.zeros(n, np.int64)
                 for i, (base, added) in enumerate(find_spans(part.column(1).to_pylist(), model.value)):
                     for _, _, kind in base:
                         counts[_ORDER[kind], i] += 1
                     if base:
                         sha[i] = hashlib.sha256(joined(base).encode()).hexdigest()
-                    spans[i], extra[i] = joined(base + added), len(added)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, counts), pa.array(sha), pa.array(spans), pa.array(extra)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
+                    spans[i], extra[i], total[i] = joined(base + added), len(added), len(base) + len(added)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, counts), pa.array(sha), pa.array(spans), pa.array(extra), pa.array(total)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_spans"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(tell, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return slim.mapInArrow(tell, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked(text: str, spans: list) -> str:
