@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake import schema as S
+from kvlake.functions import exprs as X
 
 
 def fold(changes: DataFrame) -> DataFrame:
@@ -61,6 +62,22 @@ def overlaps(a_lo, a_hi, b_lo, b_hi):
     return (a_lo <= b_hi) & (b_lo <= a_hi)
 
 
+def intersects(a: str, b: str):
+    """Whether two ranges (structs lo, hi, inf) meet: an empty one (no lo, not infinite) never, an infinite one always."""
+    empty = lambda r: F.col(f"{r}.lo").isNull() & ~F.col(f"{r}.inf")
+    return F.when(empty(a) | empty(b), False).when(F.col(f"{a}.inf") | F.col(f"{b}.inf"), True).otherwise(overlaps(F.col(f"{a}.lo"), F.col(f"{a}.hi"), F.col(f"{b}.lo"), F.col(f"{b}.hi")))
+
+
+def extended(ranges: DataFrame, by: str) -> DataFrame:
+    """The ranges (lo, hi, inf) of each group as one: empty ones add nothing, infinite stays infinite."""
+    return ranges.groupBy(by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("inf").alias("inf"))
+
+
+def listed(names: DataFrame, suffix: str) -> DataFrame:
+    """The ids of the files with this suffix in a listing (name); other names, and numbers that aren't, are passed over."""
+    return names.select(X.file_id(F.col("name"), suffix).alias("id")).where("id is not null").distinct()
+
+
 def table_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of tables whose key ranges meet; both sides are manifests."""
     x, y = a.select(F.col("table_id").alias("a_id"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")), b.select(F.col("table_id").alias("b_id"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))

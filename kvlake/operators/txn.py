@@ -29,19 +29,21 @@ def watermark(marks: DataFrame, initial: int = 0) -> DataFrame:
     return done.agg(F.coalesce(F.max("ts"), F.lit(initial)).cast("long").alias("done_until"))
 
 
-def _whole_groups(log: DataFrame, bucket_rows: int) -> DataFrame:
-    """The log's rows before its first broken group.
+def _whole_groups(log: DataFrame, bucket_rows: int, by: list[str] | None = None) -> DataFrame:
+    """The log's rows before its first broken group; by: of each log, where there are several.
 
     kind: T (in a transaction), F (its end), P (plain). Markers and plain rows end groups. A group is
     whole if it is a lone plain row, or rows of one ts with their marker last.
     """
     ends = F.when(F.col("kind").isin("F", "P"), 1).otherwise(0)
-    grouped = running_sum(log, ends, F.floor(F.col("seq") / bucket_rows).cast("long"), ["seq"], "g")
-    per = grouped.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "P").alias("p"), F.count_if(F.col("kind") == "F").alias("f"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    grouped = running_sum(log, ends, F.floor(F.col("seq") / bucket_rows).cast("long"), ["seq"], "g", by)
+    by = by or []
+    per = grouped.groupBy(*by, "g").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "P").alias("p"), F.count_if(F.col("kind") == "F").alias("f"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     plain = (F.col("p") == 1) & (F.col("n") == 1)
     whole = (F.col("f") == 1) & (F.col("p") == 0) & (F.col("n") > 1) & (F.col("lo") == F.col("hi"))
-    broken = per.where(~(plain | whole)).agg(F.min("g").alias("broken"))
-    return grouped.crossJoin(F.broadcast(broken)).where("broken is null or g < broken").drop("g", "broken")
+    broken = per.where(~(plain | whole)).groupBy(*by).agg(F.min("g").alias("broken"))
+    met = grouped.join(broken, by, "left") if by else grouped.crossJoin(F.broadcast(broken))
+    return met.where("broken is null or g < broken").drop("g", "broken")
 
 
 def replay(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
@@ -49,6 +51,15 @@ def replay(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     return _whole_groups(log, bucket_rows).where(F.col("kind") != "F")
 
 
+def replay_segments(log: DataFrame, segment: str, bucket_rows: int = 100_000) -> DataFrame:
+    """Rows that a recovery of several segments keeps, with `position`: segments that keep none are dropped, the others
+    follow by their number. Each segment is cut at its own first broken group."""
+    kept = _whole_groups(log, bucket_rows, [segment]).where(F.col("kind") != "F")
+    order = kept.select(segment).distinct()
+    order = running_sum(order, F.lit(1), F.floor(F.col(segment) / 4096).cast("long"), [segment], "position")
+    return kept.join(order, segment)
+
+
 def valid_end(log: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     """seq of the last row that a recovery keeps, -1 where there is none: the log is cut after it."""
     return _whole_groups(log, bucket_rows).agg(F.coalesce(F.max("seq"), F.lit(-1)).cast("long").alias("valid_end"))

@@ -15,7 +15,8 @@ HEADER_BYTES = 10
 def split(kv: DataFrame, threshold: int, file_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(rows with inline values or pointers, value log). A file takes file_rows consecutive versions.
 
-    The offset in a file is the sum of the sizes before it, over one file's rows.
+    The offset in a file is the sum of the sizes before it, over one file's rows. The log's meta is
+    without the flags of transactions: what it holds is committed.
     """
     big = F.octet_length("value") >= threshold
     entry = kv.where(big).withColumn("fid", F.floor(F.col("version") / file_rows).cast("long")).withColumn("size", (F.octet_length("key") + 8 + F.octet_length("value") + HEADER_BYTES).cast("long"))
@@ -24,7 +25,7 @@ def split(kv: DataFrame, threshold: int, file_rows: int = 1000) -> tuple[DataFra
     inline = kv.where(~F.coalesce(big, F.lit(False))).withColumn("pointer", F.lit(None).cast("struct<fid:bigint,size:bigint,offset:bigint>"))
     rest = [c for c in kv.columns if c not in ("key", "version", "value", "meta")]
     pointed = log.select("key", "version", *rest, F.lit(None).cast("string").alias("value"), X.with_flag(S.VALUE_POINTER).alias("meta")).join(pointer, ["key", "version"])
-    return inline.unionByName(pointed.select(*inline.columns)), log.select("fid", "offset", "size", "key", "version", "value", F.crc32(F.col("value").cast("binary")).alias("crc"))
+    return inline.unionByName(pointed.select(*inline.columns)), log.select("fid", "offset", "size", "key", "version", "value", X.without_flag(S.TXN | S.FIN_TXN).alias("meta"), F.crc32(F.col("value").cast("binary")).alias("crc"))
 
 
 def deref(rows: DataFrame, log: DataFrame) -> DataFrame:
@@ -43,6 +44,14 @@ def discard_stats(retained: DataFrame) -> DataFrame:
     return gone.groupBy("pointer.fid").agg(F.sum("pointer.size").cast("long").alias("discarded"), F.count("*").alias("pointers_dropped"))
 
 
+def discard_updates(updates: DataFrame) -> DataFrame:
+    """Each file's discarded bytes after updates (fid, seq, delta) in order: a positive delta adds, a negative one
+    resets to 0, 0 only reads. Files that nothing was added to aren't listed."""
+    reset = updates.groupBy("fid").agg(F.max(F.when(F.col("delta") < 0, F.col("seq"))).alias("_reset"))
+    added = updates.where("delta > 0").join(reset, "fid")
+    return added.groupBy("fid").agg(F.coalesce(F.sum(F.when(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset")), F.col("delta"))), F.lit(0)).cast("long").alias("discarded"))
+
+
 def size_histogram(kv: DataFrame) -> DataFrame:
     """bucket, n: logarithmic buckets of value sizes."""
     return kv.groupBy(X.size_bucket(F.octet_length("value")).alias("bucket")).agg(F.count("*").alias("n"))

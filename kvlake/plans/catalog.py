@@ -187,6 +187,13 @@ def kv_discard_stats(spark, sf):
     return valuelog.discard_stats(merge.retain(rows, 1, NOW, False))
 
 
+@query("with u as (select user_id%50 as fid, event_id as seq, case event_type when 'error' then -1 when 'view' then 0 else user_id+1 end as delta from events), r as (select fid, max(seq) filter (where delta<0) as reset from u group by fid) select u.fid, cast(coalesce(sum(delta) filter (where reset is null or seq > reset),0) as bigint) as discarded from u join r on r.fid=u.fid where delta > 0 group by u.fid")
+def kv_discard_updates(spark, sf):
+    kind = F.col("event_type")
+    delta = F.when(kind == "error", -1).when(kind == "view", 0).otherwise(F.col("user_id") + 1).cast("long")
+    return valuelog.discard_updates(V.table(spark, sf, "events").select((F.col("user_id") % 50).alias("fid"), F.col("event_id").alias("seq"), delta.alias("delta")))
+
+
 @query(f"{_retain_sql(1, True)} select level, cast(sum(strlen(key)+8+strlen(value)+4) as bigint) as stale_bytes, count(*) as n from r where kept and stale group by level")
 def kv_stale_bytes(spark, sf):
     kept = merge.compact(V.events(spark, sf), 1, NOW, True).where("stale")
@@ -217,6 +224,14 @@ def kv_value_deref(spark, sf):
     return valuelog.deref(rows, log).select("key", "version", F.md5("value").alias("digest"), "missing")
 
 
+@query(f"{_E} select key, version, meta from kv where strlen(value) >= 9")
+def kv_vlog_meta(spark, sf):
+    """Committed rows carry the flags of transactions; their copies in the value log don't."""
+    stamped = V.events(spark, sf).withColumn("meta", F.col("meta").bitwiseOR(F.when(F.col("version") % 5 == 0, S.TXN | S.FIN_TXN).otherwise(S.TXN)).cast("short"))
+    _, log = valuelog.split(stamped, 9)
+    return log.select("key", "version", F.col("meta").cast("int").alias("meta"))
+
+
 @query(f"with kv as ({V.DOCUMENTS_SQL}), h as (select cast(floor(100*ln(1+cast(strlen(value) as double))+0.5) as bigint) as bucket, count(*) as n from kv group by 1), c as (select bucket, sum(n) over (order by bucket) as cum from h), p as (select unnest([0.0,50.0,90.0,99.0,100.0]::double[]) as p) select p, min(bucket) as bucket, round(exp(min(bucket)/100.0)-1,6) as value from p left join c on c.cum >= greatest((select sum(n) from h)*p/100,1) group by p")
 def kv_threshold_hist(spark, sf):
     return valuelog.percentiles(valuelog.size_histogram(V.documents(spark, sf)), [0, 50, 90, 99, 100])
@@ -289,6 +304,26 @@ def kv_range_envelope(spark, sf):
     return M.envelope(_runs(spark, sf), "level")
 
 
+# Some of the ranges are empty, some infinite.
+_RANGES = "ranges as (select table_id, level, case when table_id%11<>3 and table_id%7<>2 then lo end as lo, case when table_id%11<>3 and table_id%7<>2 then hi end as hi, table_id%7=2 as inf from tables)"
+
+
+def _ranges(spark, sf):
+    plain = (F.col("table_id") % 11 != 3) & (F.col("table_id") % 7 != 2)
+    return _runs(spark, sf).select("table_id", "level", F.when(plain, F.col("lo")).alias("lo"), F.when(plain, F.col("hi")).alias("hi"), (F.col("table_id") % 7 == 2).alias("inf"))
+
+
+@query(f"{_O}, {_RUNS}, {_RANGES} select table_id, not (lo is null and not inf) and (inf or (lo <= 'k00000900' and hi >= 'k00000400')) as meets from ranges")
+def kv_range_intersects(spark, sf):
+    probe = F.struct(F.lit("k00000400").alias("lo"), F.lit("k00000900").alias("hi"), F.lit(False).alias("inf"))
+    return _ranges(spark, sf).select("table_id", F.struct("lo", "hi", "inf").alias("a"), probe.alias("b")).select("table_id", M.intersects("a", "b").alias("meets"))
+
+
+@query(f"{_O}, {_RUNS}, {_RANGES} select level, min(lo) as lo, max(hi) as hi, bool_or(inf) as inf from ranges group by level")
+def kv_range_extend(spark, sf):
+    return M.extended(_ranges(spark, sf), "level")
+
+
 @query(f"{_O}, {_RUNS} select table_id, level, lo, hi from tables where lo <= 'k00000900' and hi >= 'k00000400'")
 def kv_tables_for_range(spark, sf):
     return M.for_range(_runs(spark, sf), "k00000400", "k00000900").select("table_id", "level", "lo", "hi")
@@ -402,6 +437,13 @@ def txn_valid_end(spark, sf):
     return txn.valid_end(V.log(spark, sf), 2000)
 
 
+@query(f"with log as (select *, seq//500 as segment from ({V.LOG_SQL})), a as (select *, coalesce(sum(case when kind in ('F','P') then 1 else 0 end) over (partition by segment order by seq rows between unbounded preceding and 1 preceding),0) as g from log), b as (select segment, g, case when count(*) filter (where kind='P')=1 and count(*)=1 then 1 when count(*) filter (where kind='F')=1 and count(*)>1 and min(ts)=max(ts) then 1 else 0 end as ok from a group by segment, g), c as (select segment, min(g) as broken from b where ok=0 group by segment), k as (select a.segment, seq, key from a left join c on c.segment=a.segment where kind<>'F' and (broken is null or g < broken)) select segment, seq, key, dense_rank() over (order by segment)-1 as position from k")
+def txn_replay_segments(spark, sf):
+    """A log in segments, each replayed on its own; those that keep nothing are dropped."""
+    log = V.log(spark, sf).withColumn("segment", F.expr("seq div 500"))
+    return txn.replay_segments(log, "segment", 2000).select("segment", "seq", "key", "position")
+
+
 _W = "with w as (select doc_id, case when doc_id%97=0 then '' when doc_id%89=0 then '!kv!'||source else source||'/'||lang end as key, text as value from documents)"
 
 
@@ -452,6 +494,24 @@ def file_name_codec(spark, sf):
     return o.select("o_orderkey", "name", X.file_id(F.col("name"), "sst").alias("parsed"), X.file_id(F.col("name"), "vlog").alias("other"))
 
 
+@query("with n as (select lpad(cast(o_orderkey as varchar),6,'0')||case o_orderkey%4 when 0 then '.vlog' when 1 then '.tmp' else '.sst' end as name from orders) select distinct cast(split_part(name,'.',1) as bigint) as id from n where ends_with(name,'.sst')")
+def file_listing(spark, sf):
+    """The ids of the tables in a listing of many kinds of files."""
+    kind = F.element_at(F.array(*map(F.lit, ("vlog", "tmp", "sst", "sst"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    names = V.table(spark, sf, "orders").select(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("."), kind).alias("name"))
+    return M.listed(names, "sst")
+
+
+@query(f"{_E}, k as (select key, cast(sum({_SIZE}) as bigint) as size, count(*) as n from kv group by key), s as (select *, cast(coalesce(sum(size) over (order by key rows between unbounded preceding and 1 preceding),0) as bigint) as before from k) select before//20000 as part, min(key) as lo, max(key) as hi, cast(sum(n) as bigint) as versions, cast(sum(size) as bigint) as bytes from s group by 1")
+def kv_parts_at_key_boundaries(spark, sf):
+    """Rows in key order, dealt to parts of a quota of bytes; a key's versions are never parted."""
+    kv = V.events(spark, sf)
+    size = F.octet_length("key") + 8 + F.octet_length("value")
+    keys = kv.groupBy("key").agg(F.sum(size).cast("long").alias("size"), F.count("*").alias("n"))
+    keys = running_sum(keys, F.col("size"), F.floor(F.substring("key", 2, 8).cast("long") / 64).cast("long"), ["key"], "before")
+    return keys.groupBy(F.expr("before div 20000").alias("part")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("n").alias("versions"), F.sum("size").alias("bytes"))
+
+
 @query(f"{_E}, s as (select version, strlen(key)+strlen(value) as size, cast(coalesce(sum(strlen(key)+strlen(value)) over (order by version rows between unbounded preceding and 1 preceding),0) as bigint) as before from kv) select before//10000 as batch, count(*) as n, cast(sum(size) as bigint) as bytes, min(version) as first_version from s group by 1")
 def group_commit_batches(spark, sf):
     size = F.octet_length("key") + F.octet_length("value")

@@ -288,3 +288,28 @@ def test_replay_and_its_end_agree(spark):
     log = spark.createDataFrame(rows, "seq long, kind string, ts long")
     assert sorted(r["seq"] for r in txn.replay(log, 2).collect()) == [0, 1] and txn.valid_end(log, 2).first()[0] == 2
     assert txn.valid_end(log.where("seq = 3"), 2).first()[0] == -1
+
+
+def test_empty_ranges_meet_nothing_and_infinite_ones_everything(spark):
+    ranges = {"none": (None, None, False), "all": (None, None, True), "low": ("a", "c", False), "high": ("c", "e", False), "far": ("x", "z", False)}
+    df = spark.createDataFrame([(k, v) for k, v in ranges.items()], "name string, r struct<lo:string,hi:string,inf:boolean>")
+    pairs = df.select(F.col("name").alias("x"), F.col("r").alias("a")).join(df.select(F.col("name").alias("y"), F.col("r").alias("b")), F.lit(True))
+    met = {(r["x"], r["y"]) for r in pairs.where(manifest.intersects("a", "b")).collect()}
+    for x in ranges:
+        for y in ranges:
+            want = "none" not in (x, y) and ("all" in (x, y) or x == y or {x, y} == {"low", "high"})
+            assert ((x, y) in met) == want
+    one = manifest.extended(df.select(F.lit(1).alias("g"), "r.*"), "g").first()
+    assert (one["lo"], one["hi"], one["inf"]) == ("a", "z", True)
+
+
+def test_discard_updates_reset_and_read(spark):
+    updates = [(1, 1, 5), (1, 2, 7), (2, 3, -1), (2, 4, 3), (1, 5, -9), (1, 6, 4), (1, 7, 0), (3, 8, -1), (3, 9, 0), (4, 10, 8), (4, 11, -1)]
+    out = valuelog.discard_updates(spark.createDataFrame(updates, "fid long, seq long, delta long"))
+    assert {r["fid"]: r["discarded"] for r in out.collect()} == {1: 4, 2: 3, 4: 0}
+
+
+def test_segments_are_replayed_each_on_its_own(spark):
+    rows = [(i, x[0], int(x[1:]), seg) for i, (x, seg) in enumerate(zip("T1 F1 T2 F9 P3 T4 P5 T6 F6 P7".split(), (0, 0, 1, 1, 1, 3, 3, 7, 7, 7)))]
+    out = txn.replay_segments(spark.createDataFrame(rows, "seq long, kind string, ts long, segment long"), "segment", 2).collect()
+    assert sorted((r["seq"], r["segment"], r["position"]) for r in out) == [(0, 0, 0), (7, 7, 1), (9, 7, 1)]
