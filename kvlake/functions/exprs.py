@@ -44,7 +44,8 @@ def encode_key(key: str = "key", version: str = "version") -> Column:
 
 
 def decode_version(encoded: str) -> Column:
-    return F.conv(F.hex(F.expr(f"right({encoded}, 8)")), 16, 10).cast("long")
+    # substring counts a binary column's bytes; right() reads it as UTF-8 and counts characters.
+    return F.conv(F.hex(F.expr(f"substring({encoded}, -8)")), 16, -10).cast("long")
 
 
 def decode_key(encoded: str) -> Column:

@@ -145,6 +145,15 @@ def test_key_codec_orders_versions_within_a_key(spark):
         assert (r["key"], r["version"]) == (r["k"], r["v"])
 
 
+def test_versions_are_decoded_by_bytes_not_characters(spark):
+    # 0xC2.., 0xE0.. and 0xF0.. begin characters of several bytes in UTF-8, 0x80.. go on with one.
+    versions = [0xC27F, 0xC280, 0xC341, 0xE08080, 0xF09F9880, 0xFFFF, 0xC2_80_C2_80_C2_80, S.EOF_VERSION, -1, 0]
+    df = spark.createDataFrame([(k, v) for k in ("", "a", "ÿ你") for v in versions], "key string, version long").withColumn("e", X.encode_key())
+    for r in df.select("key", "version", "e", X.decode_key("e").alias("k"), X.decode_version("e").alias("v")).collect():
+        assert bytes(r["e"]) == r["key"].encode() + (r["version"] % (1 << 64)).to_bytes(8, "big")
+        assert (r["key"], r["version"]) == (r["k"], r["v"])
+
+
 def test_manifest_fold_errors_and_level_of_creation(spark):
     log = spark.createDataFrame([(1, "CREATE", 1, 2), (2, "CREATE", 2, 3), (3, "DELETE", 1, 0), (4, "CREATE", 2, 3), (5, "DELETE", 9, 0), (6, "CREATE", 1, 5)], "seq long, op string, table_id long, level int")
     assert {(r["table_id"], r["level"]) for r in manifest.fold(log).collect()} == {(1, 5), (2, 3)}
