@@ -79,7 +79,9 @@ def bucket_value(b: Column) -> Column:
 
 
 def file_name(file_id: Column, suffix: str) -> Column:
-    return F.concat(F.lpad(file_id.cast("string"), 6, "0"), F.lit(f".{suffix}"))
+    """At least six digits; a longer id is kept whole, which lpad to six would cut."""
+    digits = file_id.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), "0"), F.lit(f".{suffix}"))
 
 
 def file_id(name: Column, suffix: str) -> Column:

@@ -154,6 +154,26 @@ def test_versions_are_decoded_by_bytes_not_characters(spark):
         assert (r["key"], r["version"]) == (r["k"], r["v"])
 
 
+def test_file_names_keep_ids_of_any_length(spark):
+    names = {0: "000000.sst", 7: "000007.sst", 999_999: "999999.sst", 1_000_000: "1000000.sst", 8_999_999: "8999999.sst", S.EOF_VERSION: "9223372036854775807.sst"}
+    df = spark.createDataFrame([(i,) for i in names], "id long").withColumn("name", X.file_name(F.col("id"), "sst"))
+    for r in df.select("id", "name", X.file_id(F.col("name"), "sst").alias("parsed"), X.file_id(F.col("name"), "vlog").alias("other")).collect():
+        assert (r["name"], r["parsed"], r["other"]) == (names[r["id"]], r["id"], None)
+
+
+def test_file_name_codec_equals_its_sql_past_six_digits(spark, tmp_path):
+    import duckdb
+
+    from kvlake.plans.catalog import ORACLES, QUERIES
+
+    spark.range(999_990, 1_000_010).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = QUERIES["file_name_codec"](spark, str(tmp_path)).collect()
+    assert len(got) == 20
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(ORACLES["file_name_codec"]).fetchall()))
+
+
 def test_manifest_fold_errors_and_level_of_creation(spark):
     log = spark.createDataFrame([(1, "CREATE", 1, 2), (2, "CREATE", 2, 3), (3, "DELETE", 1, 0), (4, "CREATE", 2, 3), (5, "DELETE", 9, 0), (6, "CREATE", 1, 5)], "seq long, op string, table_id long, level int")
     assert {(r["table_id"], r["level"]) for r in manifest.fold(log).collect()} == {(1, 5), (2, 3)}
