@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kvlake.functions import exprs as X
 from kvlake.operators import reads
 
+#: Consecutive transactions that share a state.
+TOGETHER = 256
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """A folder of Parquet files, or one file, as a stream."""
@@ -37,21 +41,27 @@ def upserted(spark: SparkSession, out: str) -> DataFrame:
 
 
 def assemble(log: DataFrame) -> DataFrame:
-    """Rows of transactions whose end marker has come: state holds a transaction's rows until then."""
+    """Rows of transactions whose end marker has come: state holds a transaction's rows until then, and after it only that it ended.
+
+    Rows and markers may come in any order. TOGETHER consecutive transactions share a state and a call,
+    as a call's own time is many times a row's; a batch opens only the states that its rows belong to.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (seqs, keys), ended = state.get if state.exists else ([], []), False
+        ended, *columns = state.get if state.exists else ([], [], [], [])
+        ended, parts = [np.array(ended, "int64")], [[np.array(c, kind) for c, kind in zip(columns, ("int64", "int64", object))]]
         for pdf in batches:
-            rows = pdf[pdf["kind"] == "T"]
-            seqs, keys = [*seqs, *rows["seq"].tolist()], [*keys, *rows["key"].tolist()]
-            ended = ended or bool((pdf["kind"] == "F").any())
-        if ended:
-            state.remove()  # a transaction takes no rows after its end
-            yield pd.DataFrame({"ts": [key[0]] * len(seqs), "seq": seqs, "key": keys}).astype({"ts": "int64", "seq": "int64"})
-        else:
-            state.update((seqs, keys))
-
-    return log.groupBy("ts").applyInPandasWithState(step, "ts long, seq long, key string", "seqs array<long>, keys array<string>", "append", GroupStateTimeout.NoTimeout)
+            kind = pdf["kind"].to_numpy()
+            ended.append(pdf["ts"].to_numpy()[kind == "F"])
+            parts.append([pdf[c].to_numpy()[kind == "T"] for c in ("ts", "seq", "key")])
+        ended, rows = np.unique(np.concatenate(ended)), [np.concatenate(c) for c in zip(*parts)]
+        done = np.isin(rows[0], ended)
+        state.update((ended.tolist(), *(c[~done].tolist() for c in rows)))
+        if done.any():
+            yield pd.DataFrame({name: c[done] for name, c in zip(("ts", "seq", "key"), rows)})
+
+    grouped = log.where("ts is not null").withColumn("_together", F.expr(f"ts div {TOGETHER}")).groupBy("_together")
+    return grouped.applyInPandasWithState(step, "ts long, seq long, key string", "ended array<long>, ts array<long>, seqs array<long>, keys array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_to(df: DataFrame, out: str, checkpoint: str):
